@@ -191,10 +191,9 @@ def declared_edges(segs: DataFrame, conns: DataFrame) -> DataFrame:
     return met.select(F.explode(edges).alias("e")).select("e.*").groupBy("src", "dst").agg(F.min("cost").alias("cost"))
 
 
-def graph_edges(segs: DataFrame, seg_nodes: DataFrame, conns: DataFrame) -> DataFrame:
+def graph_edges(seg_nodes: DataFrame, declared: DataFrame) -> DataFrame:
     """Directed edges (src, dst, cost): the declared ones, then compatible segments that share
     a node and have no edge a → b yet. The cheapest cost stays."""
-    declared = declared_edges(segs, conns)
     pairs = (
         sharing_pairs(seg_nodes)
         .filter(roads.types_compatible(F.col("a_highway"), F.col("b_highway")))

@@ -57,25 +57,18 @@ def tile_density(tiles: DataFrame) -> DataFrame:
 
 def tiles_of_box(min_x: Column, min_y: Column, max_x: Column, max_y: Column, cfg: TileConfig = TILES) -> Column:
     """All tiles of all depths meeting a box: ``array<struct<depth, tile_x, tile_y>>``."""
-    per_depth = []
-    for depth in range(cfg.max_depth + 1):
+
+    def at_depth(depth: int) -> Column:
         size = F.lit(cfg.base_size_deg / 2**depth)
         xs = F.sequence(geo.tile_index(min_x, size), geo.tile_index(max_x, size))
         ys = F.sequence(geo.tile_index(min_y, size), geo.tile_index(max_y, size))
-        per_depth.append(
-            F.flatten(
-                F.transform(
-                    xs,
-                    lambda x, ys=ys, depth=depth: F.transform(
-                        ys,
-                        lambda y: F.struct(
-                            F.lit(depth).alias("depth"), x.alias("tile_x"), y.alias("tile_y")
-                        ),
-                    ),
-                )
-            )
-        )
-    return F.concat(*per_depth)
+
+        def tile(x: Column, y: Column) -> Column:
+            return F.struct(F.lit(depth).alias("depth"), x.alias("tile_x"), y.alias("tile_y"))
+
+        return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: tile(x, y))))
+
+    return F.concat(*[at_depth(d) for d in range(cfg.max_depth + 1)])
 
 
 def tiles_for_boxes(boxes: DataFrame, key: str, tiles: DataFrame, buffer_deg: float = 0.0, cfg: TileConfig = TILES) -> DataFrame:

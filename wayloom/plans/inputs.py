@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wayloom.functions import roads
 from wayloom.operators import network
+from wayloom.session import stored
 
 
 class Inputs:
@@ -93,8 +94,42 @@ class Inputs:
     def road_ways(self) -> DataFrame:
         return self.ways().filter(F.col("highway").isin(*roads.NETWORK_CLASSES))
 
+    def _stored(self, name: str, build) -> DataFrame:
+        return stored(self.spark, self.sf_dir, name, build)
+
+    # The network is built in stages; each stage is written once and read by the next.
     def segments(self) -> DataFrame:
-        return network.segments(self.road_ways(), self.way_nodes(), self.nodes())
+        return self._stored(
+            "segments", lambda: network.segments(self.road_ways(), self.way_nodes(), self.nodes())
+        )
+
+    def segment_nodes(self) -> DataFrame:
+        return self._stored("segment_nodes", lambda: network.segment_nodes(self.segments()))
+
+    def base_connections(self) -> DataFrame:
+        return self._stored("base_connections", lambda: network.connections(self.segment_nodes()))
+
+    def connections(self) -> DataFrame:
+        def build():
+            base = self.base_connections()
+            return base.unionByName(network.extra_connections(self.segment_nodes(), base))
+
+        return self._stored("connections", build)
+
+    def declared_edges(self) -> DataFrame:
+        return self._stored(
+            "declared_edges", lambda: network.declared_edges(self.segments(), self.connections())
+        )
+
+    def edges(self) -> DataFrame:
+        return self._stored(
+            "edges", lambda: network.graph_edges(self.segment_nodes(), self.declared_edges())
+        )
+
+    def transitions(self) -> DataFrame:
+        return self._stored(
+            "transitions", lambda: network.transitions(self.segment_nodes(), self.edges(), self.connections())
+        )
 
     def activities(self) -> DataFrame:
         return self.events().selectExpr(

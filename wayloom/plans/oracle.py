@@ -69,7 +69,7 @@ FROM road_ways w JOIN (SELECT wn.way_id, list(n.node_id ORDER BY wn.seq) AS node
  r.i-1 AS idx, s.nodes[r.i] AS node_id, s.xs[r.i] AS lon, s.ys[r.i] AS lat
 FROM seg s, unnest(range(1, s.n_nodes+1)) AS r(i)""",
     "pc": """SELECT segment_id, idx AS piece, lon AS ax, lat AS ay, lead(lon) OVER w AS bx, lead(lat) OVER w AS by_ FROM sn
-QUALIFY bx IS NOT NULL WINDOW w AS (PARTITION BY segment_id ORDER BY idx)""",
+WINDOW w AS (PARTITION BY segment_id ORDER BY idx) QUALIFY bx IS NOT NULL""",
     "conn": """SELECT DISTINCT src, dst FROM (
  SELECT a.segment_id AS src, b.segment_id AS dst FROM sn a JOIN sn b ON a.node_id=b.node_id AND a.segment_id<>b.segment_id
   AND b.node_id IN (b.first_node,b.last_node)

@@ -63,3 +63,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def stored(spark: SparkSession, key: str, name: str, build) -> DataFrame:
+    """A table built once per application and kept in the shared folder.
+
+    Network tables are inputs of many jobs; like any preprocessing they are written once and
+    then read. The path names the application, so nothing outlives or leaks between runs.
+    """
+    app = spark.sparkContext.applicationId
+    path = os.path.join(shared_dir(spark), "wayloom-tables", app, uuid.uuid5(uuid.NAMESPACE_URL, key).hex, name)
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(path, "_SUCCESS"))
+    if not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
