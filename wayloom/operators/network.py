@@ -233,7 +233,7 @@ def transitions(seg_nodes: DataFrame, edges: DataFrame, conns: DataFrame) -> Dat
         .join(into, ["dst", "node_id"])
         .filter(~(F.col("dst_oneway") & (F.col("entry_idx") == F.col("dst_last"))))
         .select(
-            "src", "exit_idx", "exit_pos", "src_oneway", "dst", "entry_idx", "entry_pos",
+            "src", "exit_idx", "exit_pos", "src_oneway", "dst", "dst_oneway", "entry_idx", "entry_pos",
             "lat", "lon", "dst_private",
             roads.static_cost(F.col("src_way"), F.col("dst_way"), F.col("dst_highway")).alias("static_cost"),
         )
