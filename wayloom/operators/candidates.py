@@ -54,7 +54,7 @@ def near_segments(points: DataFrame, key: list[str], segs: DataFrame, radius_m:
 
 def rank_candidates(near: DataFrame, key: list[str], cfg: MatchConfig = MATCH, radius_m: float | None = None) -> DataFrame:
     """Best ``max_candidates`` segments per point. Points with no segment within the radius use
-    those up to the extended radius, at a higher cost."""
+    those up to the extended radius, at a higher cost. Costs equal to 1e-6 go by segment id."""
     r = cfg.radius_m if radius_m is None else radius_m
     is_near = F.col("distance_m") <= r
     per_point = Window.partitionBy(*key)
@@ -65,7 +65,7 @@ def rank_candidates(near: DataFrame, key: list[str], cfg: MatchConfig = MATCH, r
         .filter(is_near | ~F.col("_any_near"))
         .withColumn("extended", ~F.col("_any_near"))
         .withColumn("cost", F.when(F.col("extended"), cost * cfg.extend_factor).otherwise(cost))
-        .withColumn("rank", F.row_number().over(per_point.orderBy("cost", "segment_id")).cast("long"))
+        .withColumn("rank", F.row_number().over(per_point.orderBy(F.round("cost", 6), "segment_id")).cast("long"))
         .filter(F.col("rank") <= cfg.max_candidates)
         .drop("_any_near")
     )
@@ -87,11 +87,24 @@ def unmatched_points(points: DataFrame, key: list[str], found: DataFrame) -> Dat
 
 
 def nearest_segment(points: DataFrame, key: list[str], segs: DataFrame, radius_m: float, cell_deg: float) -> DataFrame:
-    """The one closest segment per point within the radius."""
-    near = near_segments(points, key, segs, radius_m, cell_deg)
-    return near.groupBy(*key).agg(
-        F.min_by(F.struct("segment_id", "distance_m"), F.struct("distance_m", "segment_id")).alias("m")
-    ).select(*key, "m.*")
+    """The one closest segment per point within the radius, by the clients' flat distance."""
+    # Twice the radius in degrees covers the difference between the two distance measures.
+    margin = 2.0 * radius_m / METERS_PER_DEGREE
+    cells = piece_cells(segment_pieces(segs), cell_deg, F.lit(margin) / F.cos(F.radians(F.least(F.abs(F.col("ay")), F.lit(85.0)))))
+    located = points.select(
+        *key, "lat", "lon",
+        geo.tile_index(F.col("lon"), F.lit(cell_deg)).alias("cell_x"),
+        geo.tile_index(F.col("lat"), F.lit(cell_deg)).alias("cell_y"),
+    )
+    d = geo.scaled_piece_distance(*[F.col(c) for c in ("lat", "lon", "ay", "ax", "by", "bx")])
+    return (
+        salted_join(located, cells, ["cell_x", "cell_y"], [*key, "lat", "lon"])
+        .withColumn("distance_m", d)
+        .filter(F.col("distance_m") <= radius_m)
+        .groupBy(*key)
+        .agg(F.min(F.struct(F.round("distance_m", 6).alias("distance_m"), "segment_id")).alias("m"))
+        .select(*key, "m.segment_id", "m.distance_m")
+    )
 
 
 def closest_vertex_pair(pairs: DataFrame, segs: DataFrame) -> DataFrame:

@@ -6,11 +6,13 @@ the work of every query grows with the data.
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayloom.functions import roads
-from wayloom.operators import network
+from wayloom.operators import matching, network, trips
 from wayloom.session import stored
 
 
@@ -131,6 +133,29 @@ class Inputs:
             "transitions", lambda: network.transitions(self.segment_nodes(), self.edges(), self.connections())
         )
 
+    def trip_points(self) -> DataFrame:
+        def build():
+            return trips.numbered_trip_points(trips.trip_points(self.pings()))
+
+        return self._stored("trip_points", build)
+
+    def network(self) -> matching.Network:
+        return matching.Network(self.segments(), self.segment_nodes(), self.transitions())
+
+    def matched(self) -> matching.Matched:
+        """All trips matched once; the parts are stored like the network."""
+        done: dict[str, matching.Matched] = {}
+
+        def part(name: str) -> DataFrame:
+            def build():
+                if "m" not in done:
+                    done["m"] = matching.match_trips(self.trip_points(), self.network())
+                return getattr(done["m"], name)
+
+            return self._stored(f"matched_{name}", build)
+
+        return matching.Matched(*[part(f.name) for f in dataclasses.fields(matching.Matched)])
+
     def activities(self) -> DataFrame:
         return self.events().selectExpr(
             "event_id", "user_id",
