@@ -188,7 +188,7 @@ FIXED = {
     "fp": """SELECT a.trip_id, a.point_idx AS window_idx, a.segment_id AS s0, b.segment_id AS s1 FROM cand a JOIN cand b ON b.trip_id=a.trip_id AND b.point_idx=a.point_idx+1 WHERE a.rank=1 AND b.rank=1""",
     "st": "SELECT trip_id, window_idx, 0 AS pos, s0 AS segment_id FROM fp UNION ALL SELECT trip_id, window_idx, 1, s1 FROM fp",
     "wp": "SELECT f.trip_id, f.window_idx, p.point_idx, p.lat, p.lon FROM fp f JOIN trip_points p ON p.trip_id=f.trip_id AND p.point_idx IN (f.window_idx, f.window_idx+1)",
-    "len": f"SELECT segment_id, sum({hav('ay', 'ax', 'by_', 'bx')}) AS len_m FROM pc GROUP BY 1",
+    "slen": f"SELECT segment_id, sum({hav('ay', 'ax', 'by_', 'bx')}) AS len_m FROM pc GROUP BY 1",
     "dist": f"""SELECT trip_id, window_idx, point_idx, min(d) AS d FROM (
  SELECT *, {hav("lat", "lon", "ay+f*(by_-ay)", "ax+f*(bx-ax)")} AS d, row_number() OVER (PARTITION BY trip_id, window_idx, point_idx, pos ORDER BY (ax+f*(bx-ax)-lon)*(ax+f*(bx-ax)-lon)+(ay+f*(by_-ay)-lat)*(ay+f*(by_-ay)-lat), piece) AS rn FROM (
   SELECT p.trip_id, p.window_idx, p.point_idx, p.lat, p.lon, s.pos, q.piece, q.ax, q.ay, q.bx, q.by_, {FOOT} AS f FROM wp p JOIN st s ON s.trip_id=p.trip_id AND s.window_idx=p.window_idx JOIN pc q ON q.segment_id=s.segment_id) a) b WHERE rn=1 GROUP BY 1,2,3""",
@@ -196,7 +196,7 @@ FIXED = {
  (c0.c*greatest(l0.len_m,1)+c1.c*greatest(l1.len_m,1))/(greatest(l0.len_m,1)+greatest(l1.len_m,1)) AS class_score, CASE WHEN w0.way_id<>w1.way_id THEN 1 ELSE 0 END AS transitions
 FROM fp f JOIN (SELECT trip_id, window_idx, avg(d) AS mean_m, stddev_pop(d) AS std_m, max(d) AS far_m FROM dist GROUP BY 1,2) x USING (trip_id, window_idx)
 JOIN (SELECT a.trip_id, a.point_idx AS window_idx, {hav("a.lat", "a.lon", "b.lat", "b.lon")} AS direct_m FROM trip_points a JOIN trip_points b ON b.trip_id=a.trip_id AND b.point_idx=a.point_idx+1) y USING (trip_id, window_idx)
-JOIN len l0 ON l0.segment_id=f.s0 JOIN len l1 ON l1.segment_id=f.s1 JOIN seg w0 ON w0.segment_id=f.s0 JOIN seg w1 ON w1.segment_id=f.s1
+JOIN slen l0 ON l0.segment_id=f.s0 JOIN slen l1 ON l1.segment_id=f.s1 JOIN seg w0 ON w0.segment_id=f.s0 JOIN seg w1 ON w1.segment_id=f.s1
 JOIN cls c0 ON c0.highway=w0.highway JOIN cls c1 ON c1.highway=w1.highway""",
     "cls": "SELECT * FROM (VALUES ('motorway',1e0),('primary',4e0),('secondary',6e0),('tertiary',8e0),('residential',10e0),('service',15e0)) c(highway, c)",
 }
