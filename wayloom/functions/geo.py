@@ -124,21 +124,28 @@ def nearest_vertex(px: Column, py: Column, coords: Column) -> Column:
     return F.array_min(ranked).i
 
 
-def scaled_piece_distance(plat, plon, alat, alon, blat, blon) -> Column:
-    """Point-to-piece distance on a plane whose longitudes shrink with the mean latitude.
+def with_scaled_piece_distance(df, out: str):
+    """Adds the distance from (lat, lon) to the piece (ay, ax)–(by, bx) on a plane whose
+    longitudes shrink with the mean latitude. Pieces under one meter count as their nearer end.
 
-    Pieces under one meter count as their nearer end.
+    Built in steps, each a column used more than once, so that the generated code stays small
+    enough for the JIT compiler.
     """
-    to_a = client_haversine(plat, plon, alat, alon)
-    to_b = client_haversine(plat, plon, blat, blon)
-    dx = F.radians(blon - alon) * F.cos(F.radians(alat + blat) / 2)
-    dy = F.radians(blat - alat)
-    px = F.radians(plon - alon) * F.cos(F.radians(alat + plat) / 2)
-    py = F.radians(plat - alat)
-    t = foot_fraction(px, py, F.lit(0.0), F.lit(0.0), dx, dy)
-    foot = client_haversine(plat, plon, alat + t * (blat - alat), alon + t * (blon - alon))
-    short = client_haversine(alat, alon, blat, blon) < 1.0
-    return F.when(short, F.least(to_a, to_b)).otherwise(foot)
+    lat, lon, ay, ax, by, bx = (F.col(c) for c in ("lat", "lon", "ay", "ax", "by", "bx"))
+    flat = df.withColumns({
+        "_dx": F.radians(bx - ax) * F.cos(F.radians(ay + by) / 2),
+        "_dy": F.radians(by - ay),
+        "_px": F.radians(lon - ax) * F.cos(F.radians(ay + lat) / 2),
+        "_py": F.radians(lat - ay),
+    })
+    zero = F.lit(0.0)
+    foot = flat.withColumn("_t", foot_fraction(F.col("_px"), F.col("_py"), zero, zero, F.col("_dx"), F.col("_dy")))
+    placed = foot.withColumns({"_qy": ay + F.col("_t") * (by - ay), "_qx": ax + F.col("_t") * (bx - ax)})
+    ends = F.least(client_haversine(lat, lon, ay, ax), client_haversine(lat, lon, by, bx))
+    # Under a meter is under 1e-5 degrees of latitude: the test is cheap for all other pieces.
+    short = F.when(F.abs(by - ay) < 1e-5, client_haversine(ay, ax, by, bx) < 1.0).otherwise(False)
+    d = F.when(short, ends).otherwise(client_haversine(lat, lon, F.col("_qy"), F.col("_qx")))
+    return placed.withColumn(out, d).drop("_dx", "_dy", "_px", "_py", "_t", "_qy", "_qx")
 
 
 def bbox(coords: Column) -> Column:

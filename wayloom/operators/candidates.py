@@ -96,13 +96,12 @@ def nearest_segment(points: DataFrame, key: list[str], segs: DataFrame, radius_m
         geo.tile_index(F.col("lon"), F.lit(cell_deg)).alias("cell_x"),
         geo.tile_index(F.col("lat"), F.lit(cell_deg)).alias("cell_y"),
     )
-    d = geo.scaled_piece_distance(*[F.col(c) for c in ("lat", "lon", "ay", "ax", "by", "bx")])
+    met = salted_join(located, cells, ["cell_x", "cell_y"], [*key, "lat", "lon"])
     return (
-        salted_join(located, cells, ["cell_x", "cell_y"], [*key, "lat", "lon"])
-        .withColumn("distance_m", d)
-        .filter(F.col("distance_m") <= radius_m)
+        geo.with_scaled_piece_distance(met, "distance_m")
         .groupBy(*key)
         .agg(F.min(F.struct(F.round("distance_m", 6).alias("distance_m"), "segment_id")).alias("m"))
+        .filter(F.col("m.distance_m") <= radius_m)
         .select(*key, "m.segment_id", "m.distance_m")
     )
 

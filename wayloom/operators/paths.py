@@ -202,8 +202,8 @@ def _cost_bound(labels: DataFrame, wanted: DataFrame, key: list[str]) -> DataFra
     )
     return (
         reached.groupBy(*key)
-        .agg(F.max("g").alias("bound"), F.count(F.lit(1)).alias("n"), F.first("n_targets").alias("n_targets"))
-        .filter(F.col("n") == F.col("n_targets"))
+        .agg(F.max("g").alias("bound"), F.count(F.lit(1)).alias("_n_reached"), F.first("n_targets").alias("n_targets"))
+        .filter(F.col("_n_reached") == F.col("n_targets"))
         .select(*key, "bound")
     )
 
