@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,9 @@ def rows(n=400, users=3, seed=7):
     return [(rnd.randrange(users), rnd.randrange(5000), i, rnd.random()) for i in range(n)]
 
 
-def test_sliced_sessions_equal_a_plain_window(spark):
+@pytest.mark.parametrize("crowd", [4_000_000, 5])
+def test_sliced_sessions_equal_a_plain_window(spark, monkeypatch, crowd):
+    monkeypatch.setattr(sequence, "ROWS_PER_SLICE", crowd)
     df = spark.createDataFrame(rows(), "user_id long, t long, event_id long, v double")
     cut = sequence.assign_sessions(
         df, "user_id", "t", ["t", "event_id"], ["t", "v"], lambda p, c: (c.t - p.t > 30) | (c.v - p.v > 0.9), 97

@@ -423,20 +423,35 @@ def route_lines(routes: DataFrame, segs: DataFrame, key: str = "trip_id") -> Dat
     )
 
 
+def _neighbor(lines: DataFrame, key: str, offset: int, columns: dict[str, Column]) -> DataFrame:
+    """Columns of the step before (-1) or after (+1), joined by position: steps of one long
+    route stay spread over tasks."""
+    other = lines.select(key, (F.col("seq") - offset).alias("seq"), *[c.alias(n) for n, c in columns.items()])
+    return lines.join(other, [key, "seq"], "left")
+
+
 def route_coordinates(lines: DataFrame, key: str = "trip_id", epsilon: float = 1e-8) -> DataFrame:
-    """Route vertices in order; a vertex equal to the one before is left out."""
-    w = Window.partitionBy(key).orderBy("seq", "i")
-    v = lines.select(key, "seq", F.posexplode("line").alias("i", "c")).select(key, "seq", "i", "c.x", "c.y")
-    same = (F.abs(F.col("x") - F.lag("x").over(w)) < epsilon) & (F.abs(F.col("y") - F.lag("y").over(w)) < epsilon)
-    return v.withColumn("_same", F.coalesce(same, F.lit(False))).filter(~F.col("_same")).drop("_same")
+    """Route vertices (seq, i, x, y); a vertex equal to the one before is left out."""
+
+    def same(a: Column, b: Column) -> Column:
+        return (F.abs(a.x - b.x) < epsilon) & (F.abs(a.y - b.y) < epsilon)
+
+    joined = _neighbor(lines, key, -1, {"before": F.element_at("line", -1)})
+    numbered = F.transform("line", lambda c, i: F.struct(i.alias("i"), c.x.alias("x"), c.y.alias("y")))
+    kept = F.filter(
+        numbered,
+        lambda v: F.when(v.i == 0, F.coalesce(~same(v, F.col("before")), F.lit(True))).otherwise(
+            ~same(v, F.get(F.col("line"), v.i - 1))
+        ),
+    )
+    return joined.select(key, "seq", F.explode(kept).alias("v")).select(key, "seq", "v.i", "v.x", "v.y")
 
 
 def junctions(lines: DataFrame, key: str = "trip_id") -> DataFrame:
     """Places where a step ends on the node the next one starts from."""
-    w = Window.partitionBy(key).orderBy("seq")
     at = F.element_at("line", -1)
     return (
-        lines.withColumn("next_start", F.lead("start_node").over(w))
+        _neighbor(lines, key, 1, {"next_start": F.col("start_node")})
         .filter(F.col("end_node") == F.col("next_start"))
         .select(key, "seq", F.col("end_node").alias("node_id"), at.x.alias("x"), at.y.alias("y"))
     )
@@ -444,9 +459,8 @@ def junctions(lines: DataFrame, key: str = "trip_id") -> DataFrame:
 
 def route_ways(lines: DataFrame, key: str = "trip_id") -> DataFrame:
     """Way ids along the route as a list, a repeated way once per run."""
-    w = Window.partitionBy(key).orderBy("seq")
-    runs = lines.withColumn("_before", F.lag("way_id").over(w)).filter(
-        F.col("_before").isNull() | (F.col("_before") != F.col("way_id"))
+    runs = _neighbor(lines, key, -1, {"before": F.col("way_id")}).filter(
+        F.col("before").isNull() | (F.col("before") != F.col("way_id"))
     )
     return runs.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "way_id"))), lambda s: s.way_id).alias("osm_way_ids"))
 

@@ -3,7 +3,7 @@
 A plain ``Window.partitionBy(user)`` puts a whole user into one task. These operators cut each
 history into time slices: rows are shuffled and sorted by (key, slice), each slice is reduced to
 one summary row, only the summaries are ordered per key (their number is bounded by time span /
-slice width), and what a slice must know about its past is joined back on (key, slice).
+slice width), slices of crowded keys are narrowed, and what a slice must know about its past is joined back on (key, slice).
 """
 
 from __future__ import annotations
@@ -15,6 +15,34 @@ from pyspark.sql import functions as F
 
 SLICE = "_slice"
 
+# A key with more rows than this in one slice gets narrower slices.
+ROWS_PER_SLICE = 4_000_000
+
+
+def _sliced(df: DataFrame, key: str, time_col: str, slice_seconds: int) -> DataFrame:
+    """Adds the time slice of each row. Slices are ``slice_seconds`` wide; keys crowding a
+    slice get slices narrowed by the excess, down to a second.
+
+    Rows without key or time are left out. The table of crowded keys holds at most rows / ROWS_PER_SLICE keys, so it is broadcast and
+    the rows themselves are not shuffled for it.
+    """
+    t = F.col(time_col)
+    # Stated here, the filters are the same for rows and summaries, which then share one shuffle.
+    df = df.filter(F.col(key).isNotNull() & t.isNotNull())
+    crowded = (
+        df.groupBy(F.col(key).alias("_key"), F.floor(t / slice_seconds).alias("_s"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") > ROWS_PER_SLICE)
+        .groupBy("_key")
+        .agg(F.greatest(F.floor(F.lit(float(slice_seconds) * ROWS_PER_SLICE) / F.max("_n")), F.lit(1)).alias("_width"))
+    )
+    return (
+        df.join(F.broadcast(crowded), F.col(key) == F.col("_key"), "left")
+        .withColumn(SLICE, F.floor(t / F.coalesce("_width", F.lit(slice_seconds))).cast("long"))
+        .filter(F.col(SLICE).isNotNull())
+        .drop("_key", "_width")
+    )
+
 
 def _as_struct(names: list[str]) -> Column:
     return F.struct(*[F.col(n) for n in names])
@@ -36,12 +64,16 @@ def assign_sessions(
     (struct of the previous row, NULL at the first row of a key), ``is_start`` and
     ``session_start`` (the ``order`` struct of the row that opened the session).
     """
-    slices = df.withColumn(SLICE, F.floor(F.col(time_col) / slice_seconds).cast("long"))
-    in_slice = Window.partitionBy(key, SLICE).orderBy(*order)
+    # Carried columns travel once, inside the struct. With nothing besides, rows and summaries
+    # read the same columns and Spark shuffles them once for both.
+    others = [c for c in df.columns if c not in carry and c != key]
+    ordering = [F.col(f"_cur.{c}").alias(c) if c in carry else F.col(c) for c in order]
+    in_slice = Window.partitionBy(key, SLICE).orderBy(*ordering)
     rows = (
-        slices.withColumn("_cur", _as_struct(carry))
-        .withColumn("_ord", _as_struct(order))
+        _sliced(df, key, time_col, slice_seconds)
+        .select(key, SLICE, *others, _as_struct(carry).alias("_cur"))
         .withColumn("_lag", F.lag("_cur").over(in_slice))
+        .withColumn("_ord", F.struct(*ordering))
         .withColumn(
             "_local_break",
             F.col("_lag").isNotNull() & F.coalesce(is_break(F.col("_lag"), F.col("_cur")), F.lit(False)),
@@ -81,15 +113,15 @@ def assign_sessions(
                 F.col("before_break"),
             ),
         )
-        .drop("_cur", "_ord", "_lag", "_local_break", "before_row", "slice_opens", "before_break", "first_ord", SLICE)
-    )
+        .select(key, *others, *[F.col(f"_cur.{c}").alias(c) for c in carry], "prev", "is_start", "session_start")
+    )
 
 
 def with_previous(
     df: DataFrame, key: str, time_col: str, order: list[str], carry: list[str], slice_seconds: int
 ) -> DataFrame:
     """Adds ``prev``, the struct of the key's previous row."""
-    slices = df.withColumn(SLICE, F.floor(F.col(time_col) / slice_seconds).cast("long"))
+    slices = _sliced(df, key, time_col, slice_seconds)
     in_slice = Window.partitionBy(key, SLICE).orderBy(*order)
     rows = slices.withColumn("_lag", F.lag(_as_struct(carry)).over(in_slice))
     tails = (
@@ -110,7 +142,7 @@ def running_total(
 ) -> DataFrame:
     """Adds, per entry of ``values``, the sum of the expression over the key's rows up to and
     including the current one in ``order``."""
-    slices = df.withColumn(SLICE, F.floor(F.col(time_col) / slice_seconds).cast("long"))
+    slices = _sliced(df, key, time_col, slice_seconds)
     up_to_here = (
         Window.partitionBy(key, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     )

@@ -12,7 +12,7 @@ def salted_join(
     keys: list[str],
     spread_by: list[str],
     how: str = "inner",
-    rows_per_task: int = 200_000,
+    rows_per_task: int = 1_000_000,
     max_salts: int = 4096,
     condition=None,
 ) -> DataFrame:
@@ -20,8 +20,8 @@ def salted_join(
 
     Keys above ``rows_per_task`` rows are spread over several salts (chosen by hashing
     ``spread_by``, so a retried task gets the same rows) and the matching rows of ``other`` are
-    repeated once per salt. The table of hot keys has at most rows / rows_per_task rows.
-    Keys below the mark are joined as usual. ``how`` may be inner, left, left_semi or
+    repeated once per salt. The table of hot keys has at most rows / rows_per_task rows, so it
+    is broadcast and finding the salts shuffles neither side. Keys below the mark are joined as usual. ``how`` may be inner, left, left_semi or
     left_anti, which never emit a row of ``big`` for a salt it is not in.
     """
     hot = (
@@ -39,7 +39,7 @@ def salted_join(
         for k in keys:
             c = df[k] == hot[f"_hot_{k}"]
             same = c if same is None else same & c
-        return df.join(hot, same, "left").drop(*[f"_hot_{k}" for k in keys])
+        return df.join(F.broadcast(hot), same, "left").drop(*[f"_hot_{k}" for k in keys])
 
     left = with_salts(big).withColumn(
         "_salt",
