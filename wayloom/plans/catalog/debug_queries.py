@@ -52,7 +52,7 @@ def window_stats(i):
 )
 def candidate_ways(i):
     """Rank of each way among a point's candidates."""
-    return i.matched().candidates.groupBy("trip_id", "point_idx", "way_id").agg(F.min("rank").alias("best_rank"))
+    return i.candidates().groupBy("trip_id", "point_idx", "way_id").agg(F.min("rank").alias("best_rank"))
 
 
 def expectations(i):
@@ -182,7 +182,7 @@ def features_routes(i):
 @query("features_candidates")
 def features_candidates(i):
     """Candidates of trip points."""
-    return features.candidate_features(i.matched().candidates, i.segments())
+    return features.candidate_features(i.candidates(), i.segments())
 
 
 @query("features_attempts")

@@ -114,7 +114,7 @@ def closest_vertex_pair(i):
 )
 def trip_candidates(i):
     """Candidates of all trip points."""
-    return i.matched().candidates.select("trip_id", "point_idx", "segment_id", "rank", F.round("distance_m", 3).alias("distance_m"))
+    return i.candidates().select("trip_id", "point_idx", "segment_id", "rank", F.round("distance_m", 3).alias("distance_m"))
 
 
 @query(
@@ -159,7 +159,7 @@ SELECT source, segment_id, min(hops) AS hops FROM bfs GROUP BY 1,2"""
 @query("bfs_hops", _bfs_sql())
 def bfs_hops(i):
     """Segments within five hops of every trip point's three best candidates."""
-    sources = i.matched().candidates.filter("rank <= 3").select(F.col("segment_id").alias("source")).distinct()
+    sources = i.candidates().filter("rank <= 3").select(F.col("segment_id").alias("source")).distinct()
     return paths.reachable(sources, i.edges(), 5)
 
 
@@ -174,7 +174,7 @@ def bounded_paths(i):
 @query("direct_route")
 def direct_route(i):
     """Direct routes between the best candidates of neighboring trip points."""
-    best = i.matched().candidates.filter("rank = 1").select("trip_id", "point_idx", "segment_id")
+    best = i.candidates().filter("rank = 1").select("trip_id", "point_idx", "segment_id")
     nxt = best.select("trip_id", (F.col("point_idx") - 1).alias("point_idx"), F.col("segment_id").alias("to_seg"))
     pairs = best.withColumnRenamed("segment_id", "from_seg").join(nxt, ["trip_id", "point_idx"]).select("from_seg", "to_seg").distinct()
     return paths.direct_routes(pairs, i.segments(), i.transitions()).select(
@@ -203,7 +203,7 @@ JOIN cls c0 ON c0.highway=w0.highway JOIN cls c1 ON c1.highway=w1.highway""",
 
 
 def fixed_scores(i):
-    best = i.matched().candidates.filter("rank = 1").select("trip_id", "point_idx", "segment_id")
+    best = i.candidates().filter("rank = 1").select("trip_id", "point_idx", "segment_id")
     nxt = best.select("trip_id", (F.col("point_idx") - 1).alias("point_idx"), F.col("segment_id").alias("to_seg"))
     last = i.segments().select("segment_id", (F.size("nodes") - 1).alias("last_idx"))
     p = best.withColumnRenamed("segment_id", "from_seg").join(nxt, ["trip_id", "point_idx"]).withColumnRenamed("point_idx", "window_idx")

@@ -11,6 +11,7 @@ import dataclasses
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayloom.config import MATCH
 from wayloom.functions import roads
 from wayloom.operators import matching, network, trips
 from wayloom.session import stored
@@ -142,6 +143,14 @@ class Inputs:
     def network(self) -> matching.Network:
         return matching.Network(self.segments(), self.segment_nodes(), self.transitions())
 
+    def candidates(self) -> DataFrame:
+        """Ranked candidates of all trip points."""
+
+        def build():
+            return matching.trip_candidates(self.trip_points(), self.network(), MATCH, MATCH.radius_m)[0]
+
+        return self._stored("trip_candidates", build)
+
     def matched(self) -> matching.Matched:
         """All trips matched once; the parts are stored like the network."""
         done: dict[str, matching.Matched] = {}
