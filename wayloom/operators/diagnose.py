@@ -11,33 +11,47 @@ from wayloom.operators.matching import WINDOW
 PAIR = [*WINDOW, "from_seg", "to_seg"]
 
 
-def path_attempts(candidates: DataFrame, windows: DataFrame, paths: DataFrame, transitions: DataFrame, top: int | None = None) -> DataFrame:
-    """Every first × last candidate pair of every window with the outcome of its search.
+def candidate_pairs(candidates: DataFrame, windows: DataFrame, top: int | None = None) -> DataFrame:
+    """First × last candidates of every window with the distance between the two points.
 
     A window has at most ``max_candidates`` candidates on each side. ``top`` keeps the best few.
     """
     c = candidates.select("trip_id", "point_idx", "segment_id", "way_id", "rank", "lat", "lon")
     if top is not None:
         c = c.filter(F.col("rank") <= top)
-    a = c.select("trip_id", F.col("point_idx").alias("start_idx"), F.col("segment_id").alias("from_seg"), F.col("way_id").alias("from_way"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
-    b = c.select("trip_id", F.col("point_idx").alias("end_idx"), F.col("segment_id").alias("to_seg"), F.col("way_id").alias("to_way"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"))
+
+    def side(idx: str, end: str, at: str) -> DataFrame:
+        return c.select(
+            "trip_id", F.col("point_idx").alias(idx), F.col("segment_id").alias(f"{end}_seg"),
+            F.col("way_id").alias(f"{end}_way"), F.col("lat").alias(f"{at}_lat"), F.col("lon").alias(f"{at}_lon"),
+        )
+
+    apart = geo.haversine(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
+    return (
+        windows.join(side("start_idx", "from", "a"), ["trip_id", "start_idx"])
+        .join(side("end_idx", "to", "b"), ["trip_id", "end_idx"])
+        .select(*PAIR, "from_way", "to_way", apart.alias("distance_m"))
+    )
+
+
+def path_attempts(candidates: DataFrame, windows: DataFrame, paths: DataFrame, transitions: DataFrame, top: int | None = None) -> DataFrame:
+    """Every candidate pair of every window with the outcome of its search."""
     leaves = transitions.select(F.col("src").alias("from_seg")).distinct().withColumn("_leaves", F.lit(True))
     enters = transitions.select(F.col("dst").alias("to_seg")).distinct().withColumn("_enters", F.lit(True))
     found = paths.select(*PAIR, "cost", "limit_m", F.size("path").alias("n_steps"))
     limits = paths.groupBy(*WINDOW).agg(F.first("limit_m").alias("window_limit"))
-    apart = geo.haversine(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
     result = (
         F.when(F.col("cost").isNotNull(), "success")
         .when(F.col("from_seg") == F.col("to_seg"), "success")
-        .when(apart > F.col("window_limit"), "too_far")
+        .when(F.col("distance_m") > F.col("window_limit"), "too_far")
         .when(F.col("_leaves").isNull() | F.col("_enters").isNull(), "no_connection")
         .otherwise("no_path_found")
     )
     return (
-        windows.join(a, ["trip_id", "start_idx"]).join(b, ["trip_id", "end_idx"])
+        candidate_pairs(candidates, windows, top)
         .join(found, PAIR, "left").join(limits, WINDOW, "left")
         .join(leaves, "from_seg", "left").join(enters, "to_seg", "left")
-        .select(*PAIR, "from_way", "to_way", apart.alias("distance_m"), "cost", "n_steps", result.alias("result"))
+        .select(*PAIR, "from_way", "to_way", "distance_m", "cost", "n_steps", result.alias("result"))
     )
 
 

@@ -26,6 +26,23 @@ def path_attempts(i):
     return attempts(i)
 
 
+@query(
+    "attempt_pairs",
+    with_ctes(
+        f"""SELECT a.trip_id, a.point_idx AS window_idx, a.segment_id AS from_seg, b.segment_id AS to_seg, x.way_id AS from_way, y.way_id AS to_way, round({hav("p.lat", "p.lon", "q.lat", "q.lon")},3) AS distance_m
+FROM cand a JOIN cand b ON b.trip_id=a.trip_id AND b.point_idx=a.point_idx+1 JOIN trip_points p ON p.trip_id=a.trip_id AND p.point_idx=a.point_idx JOIN trip_points q ON q.trip_id=b.trip_id AND q.point_idx=b.point_idx
+JOIN seg x ON x.segment_id=a.segment_id JOIN seg y ON y.segment_id=b.segment_id""",
+        TRIP_NEAR,
+    ),
+)
+def attempt_pairs(i):
+    """All first × last candidate pairs of each window, before any search."""
+    wins = matching.windows(i.trip_points())
+    return diagnose.candidate_pairs(i.candidates(), wins).select(
+        "trip_id", "window_idx", "from_seg", "to_seg", "from_way", "to_way", F.round("distance_m", 3).alias("distance_m")
+    )
+
+
 @query("top3_attempts")
 def top3_attempts(i):
     """The same for the three best candidates on each side."""
