@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayloom.llm import lines, quality, toxicity, urls
+from wayloom.llm import html, lines, quality, toxicity, urls
 
 #: Query name, module and the table it reads.
 _OPS = (
     ("op2_quality", quality, "documents labels"),
     ("op5_line_dedup", lines, "documents"),
     ("op8_url_filters", urls, "pages"),
+    ("op9_html_extraction", html, "pages"),
     ("op10_toxicity", toxicity, "documents labels"),
 )
 
