@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayloom.llm import html, lines, pieces, quality, toxicity, urls
+from wayloom.llm import decontaminate, html, lines, pieces, quality, toxicity, urls
 
 #: Query name, module and the table it reads.
 _OPS = (
     ("op1_sentencepiece", pieces, "documents"),
     ("op2_quality", quality, "documents labels"),
+    ("op4_decontamination", decontaminate, "documents benchmark"),
     ("op5_line_dedup", lines, "documents"),
     ("op8_url_filters", urls, "pages"),
     ("op9_html_extraction", html, "pages"),

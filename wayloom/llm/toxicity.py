@@ -39,8 +39,6 @@ MAX_BIAS = -4.0
 PREFIXES = (4, 5, 6)
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?\n"]] = True
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 
 class Model(NamedTuple):
@@ -58,23 +56,14 @@ class _Bags(NamedTuple):
 
 def _bags(texts: pa.Array, known: np.ndarray | None = None) -> _Bags:
     """Features of all sentences; only those in ``known``, if given."""
-    data, offsets = words._parts(texts)
-    low = words.LOWER[data]
-    letter = _LETTER[low]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offsets] = True
-    starts, ends = letter.copy(), letter.copy()
-    if len(data):
-        starts[1:] &= ~letter[:-1] | edge[1:-1]
-        ends[:-1] &= ~letter[1:] | edge[1:-1]
-    start, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    doc = np.searchsorted(offsets, start, "right") - 1
-    stops = np.cumsum(_STOP[data], dtype=np.int64)[start] if len(start) else start
+    low, offsets, start, end, first = words.split(texts, lower=True, letters=True)
+    doc = np.repeat(np.arange(len(texts)), np.diff(first))
+    stops = np.cumsum(_STOP[low], dtype=np.int64)[start] if len(start) else start
     new = np.ones(len(start), bool)
     new[1:] = (stops[1:] != stops[:-1]) | (doc[1:] != doc[:-1])
     sentence = np.cumsum(new) - 1
     last = np.flatnonzero(np.append(new[1:], True)) if len(start) else start
-    spans = (data, start[new], end[last])
+    spans = (words.split_bytes(texts), start[new], end[last])
     found = []
     lookup = None
     if known is not None:

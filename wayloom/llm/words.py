@@ -16,6 +16,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+LETTER = np.zeros(256, bool)
+LETTER[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _TABLES = np.random.default_rng(20240607).integers(0, 2**64, (64, 256), dtype=np.uint64)
 _BLOCK = 1 << 17
 SLICE_BYTES = 2 << 20
@@ -60,12 +62,13 @@ def _parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def split(column: pa.Array, lower: bool = False) -> Words:
-    """Word spans of every text; null counts as empty. ``lower`` turns A-Z into a-z."""
+def split(column: pa.Array, lower: bool = False, letters: bool = False) -> Words:
+    """Word spans of every text; null counts as empty. ``lower`` turns A-Z into a-z. ``letters`` (with
+    ``lower``) takes runs of letters, digits and bytes beyond ASCII for words, without the signs around."""
     data, offsets = _parts(column)
     if lower:
         data = LOWER[data]
-    word = ~SPACE[data]
+    word = LETTER[data] if letters else ~SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     starts, ends = word.copy(), word.copy()
@@ -100,5 +103,10 @@ def grams(h: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     return mix(out)
 
 
+def split_bytes(column: pa.Array) -> np.ndarray:
+    """The bytes that the places of ``split`` refer to, unchanged."""
+    return _parts(column)[0]
+
+
 def in_row_order(batch: pa.RecordBatch, lo: int, hi: int, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name)).slice(lo, hi - lo)
