@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayloom.llm import cells, decontaminate, html, lines, pieces, quality, toxicity, urls
+from wayloom.llm import cells, decontaminate, html, jaccard, lines, pieces, quality, toxicity, urls
 
 #: Query name, module and the table it reads.
 _OPS = (
@@ -15,6 +15,7 @@ _OPS = (
     ("op4_decontamination", decontaminate, "documents benchmark"),
     ("op5_line_dedup", lines, "documents"),
     ("op6_embedding_dedup", cells, "embeddings"),
+    ("op7_jaccard_join", jaccard, "documents"),
     ("op8_url_filters", urls, "pages"),
     ("op9_html_extraction", html, "pages"),
     ("op10_toxicity", toxicity, "documents labels"),
