@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayloom.llm import cells, decontaminate, html, jaccard, lines, pieces, quality, toxicity, urls
+from wayloom.llm import cells, decontaminate, html, jaccard, lines, pieces, quality, substrings, toxicity, urls
 
 #: Query name, module and the table it reads.
 _OPS = (
     ("op1_sentencepiece", pieces, "documents"),
     ("op2_quality", quality, "documents labels"),
+    ("op3_substring_dedup", substrings, "documents"),
     ("op4_decontamination", decontaminate, "documents benchmark"),
     ("op5_line_dedup", lines, "documents"),
     ("op6_embedding_dedup", cells, "embeddings"),
