@@ -2,10 +2,11 @@ import heapq
 import random
 from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from wayloom.config import MATCH, TileConfig
-from wayloom.operators import candidates, network, paths, tiles
+from wayloom.operators import candidates, diagnose, network, paths, tiles
 from wayloom.operators.movement import np_haversine
 from wayloom.session import materialize
 from wayloom.sources import sinks
@@ -166,6 +167,50 @@ def test_grid_join_equals_full_search(spark):
     assert all(abs(got[k] - want[k]) < 1e-6 for k in want)
 
 
+def test_radius_searches_at_all_latitudes(spark):
+    """Long pieces and points up to the poles, against searches over whole segments."""
+    from wayloom.operators.matching import line_distance
+
+    rnd = random.Random(3)
+    rows, pts = [], []
+    for base in (0.0, 60.0, -60.0, 86.0, 88.9, 89.85, -89.93, 89.999):
+        for k in range(4):
+            x, top = rnd.uniform(-1, 1), min(90.0, abs(base) + rnd.choice([0.001, 1.0]))
+            y2 = top if base >= 0 else -top
+            line = [(x, base), (x + rnd.uniform(-0.01, 0.01), (base + y2) / 2), (x, y2)]
+            rows.append((len(rows), [{"x": a, "y": b} for a, b in line]))
+            for _ in range(8):
+                (ax, ay), (bx, by) = rnd.choice([line[:2], line[1:]])
+                f = rnd.random()
+                lat = ay + f * (by - ay) + rnd.uniform(-1, 1) * 3e-4
+                wide = float(4e-4 / max(np.cos(np.radians(min(abs(lat), 89.9995))), 1e-9))
+                pts.append((len(pts), max(-90.0, min(90.0, lat)), ax + f * (bx - ax) + rnd.uniform(-1, 1) * wide))
+    # The case of a piece whose far end is a degree nearer to the pole.
+    rows.append((900, [{"x": 0.0, "y": 60.0}, {"x": 0.0, "y": 61.0}]))
+    pts.append((900, 60.999, 29.9 / 111195.0 / float(np.cos(np.radians(60.999)))))
+    segs = spark.createDataFrame(rows, "segment_id long, coordinates array<struct<x:double,y:double>>")
+    points = spark.createDataFrame(pts, "pid long, lat double, lon double")
+    got = {(r.pid, r.segment_id): r.distance_m for r in candidates.near_segments(points, ["pid"], segs, 30.0, 0.002).collect()}
+    want = {}
+    for s, line in rows:
+        for p, lat, lon in pts:
+            d = line_distance(lat, lon, [c["x"] for c in line], [c["y"] for c in line])
+            if d <= 30.0:
+                want[p, s] = d
+    assert (900, 900) in want and got.keys() == want.keys() and len(want) > 60
+    assert all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    # Midpoints within the radius, also across the antimeridian and the pole.
+    ends = [(179.9999, 10.0), (-179.9999, 10.0), (0.0, 89.9999), (180.0, 89.9999), (90.0, -89.95), (0.5, 45.0)]
+    short = spark.createDataFrame([(k, [{"x": x, "y": y}, {"x": x, "y": y}]) for k, (x, y) in enumerate(ends)],
+                                  "segment_id long, coordinates array<struct<x:double,y:double>>")
+    asked = spark.createDataFrame([(k, y, x) for k, (x, y) in enumerate(ends)] + [(50, -89.949, 80.0)], "pid long, lat double, lon double")
+    got = {(r.pid, r.segment_id) for r in diagnose.segments_around(asked, ["pid"], short).collect()}
+    want = {(p.pid, k) for p in asked.collect() for k, (x, y) in enumerate(ends) if np_haversine(p.lat, p.lon, y, x) <= 2000.0}
+    assert got == want and {(0, 1), (2, 3), (50, 4)} <= got
+    near = {(r.a_id, r.b_id) for r in network.endpoint_near(short, 30.0).collect()}
+    assert near == {(a, b) for a in range(6) for b in range(a + 1, 6) if np_haversine(ends[a][1], ends[a][0], ends[b][1], ends[b][0]) < 30.0} == {(0, 1), (2, 3)}
+
+
 def test_tile_density_boundary(spark, tmp_path):
     cfg = TileConfig(base_size_deg=1.0, density=3, max_depth=1)
     nodes = {k: (0.1, 0.1 + k * 0.01) for k in range(8)}

@@ -209,6 +209,46 @@ def used_slice(coords: Column, entry: Column, exit_: Column, is_oneway: Column)
     )
 
 
+#: From this latitude on, circles around a point may hold the pole and are not bounded in longitude.
+POLAR_DEG = 89.9
+
+
+def lon_reach(abs_lat: Column, radius_deg: float) -> Column:
+    """Longitudes that a circle around a point at this latitude (below ``POLAR_DEG``) reaches to each side."""
+    lat = F.least(abs_lat, F.lit(POLAR_DEG))
+    return F.degrees(F.asin(F.least(F.sin(F.radians(F.lit(radius_deg))) / F.cos(F.radians(lat)), F.lit(1.0))))
+
+
+def planar_reach(abs_lat: Column, radius_deg: float) -> Column:
+    """Greatest distance in degrees between a point and what lies within the radius of it."""
+    dx = lon_reach(abs_lat + radius_deg, radius_deg)
+    return F.sqrt(dx * dx + F.lit(radius_deg) * F.lit(radius_deg))
+
+
+#: Up to this latitude searches compare pieces by their planar distance; beyond, whole lines.
+HIGH_DEG = 80.0
+
+
+def search_margin(radius_deg: float):
+    """Margin around a line's span below ``HIGH_DEG``, by its greatest absolute latitude: no point whose
+    planar reach meets the span lies farther away."""
+    # The reach is at most six radii here, and so is what the latitudes of both can differ by.
+    return lambda abs_lat: planar_reach(F.least(abs_lat + 6 * radius_deg, F.lit(HIGH_DEG)), radius_deg)
+
+
+def lon_cells(x: Column, d: Column, size: float) -> Column:
+    """Cells of [x - d, x + d], going on at the other side of the antimeridian."""
+    at = F.lit(size)
+
+    def run(lo: Column, hi: Column) -> Column:
+        return F.sequence(tile_index(lo, at), tile_index(hi, at))
+
+    none = F.array().cast("array<bigint>")
+    west = F.when(x - d < -180, run(x - d + 360, F.greatest(x - d + 360, F.lit(180.0)))).otherwise(none)
+    east = F.when(x + d > 180, run(F.lit(-180.0), F.greatest(x + d - 360, F.lit(-180.0)))).otherwise(none)
+    return F.array_distinct(F.concat(run(x - d, x + d), west, east))
+
+
 def tile_index(value: Column, size) -> Column:
     return F.floor(value / size).cast("long")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayloom.config import METERS_PER_DEGREE
 from wayloom.functions import geo, roads
 from wayloom.operators.matching import WINDOW
 
@@ -179,14 +180,12 @@ def segments_around(points: DataFrame, key: list[str], segs: DataFrame, radius_m
     from wayloom.operators.skew import salted_join
 
     mid = segs.select("*", geo.ends_midpoint(F.col("coordinates")).alias("m"))
-    dy = F.lit(radius_m / 111000.0)
-    dx = dy / F.cos(F.radians(F.least(F.abs(F.col("m.y")) + dy, F.lit(85.0))))
+    r = radius_m / METERS_PER_DEGREE
     size = F.lit(cell_deg)
-
-    def span(v: Column, d: Column) -> Column:
-        return F.sequence(geo.tile_index(v - d, size), geo.tile_index(v + d, size))
-
-    cells = mid.withColumn("cell_x", F.explode(span(F.col("m.x"), dx))).withColumn("cell_y", F.explode(span(F.col("m.y"), dy)))
+    # A circle that holds the pole meets all cells of its rows.
+    dx = F.when(F.abs(F.col("m.y")) + r < geo.POLAR_DEG, geo.lon_reach(F.abs(F.col("m.y")), r)).otherwise(180.0)
+    ys = F.sequence(geo.tile_index(F.col("m.y") - r, size), geo.tile_index(F.col("m.y") + r, size))
+    cells = mid.withColumn("cell_x", F.explode(geo.lon_cells(F.col("m.x"), dx, cell_deg))).withColumn("cell_y", F.explode(ys))
     located = points.select(
         *key, "lat", "lon", geo.tile_index(F.col("lon"), size).alias("cell_x"), geo.tile_index(F.col("lat"), size).alias("cell_y")
     )

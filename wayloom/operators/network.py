@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayloom.config import METERS_PER_DEGREE
 from wayloom.functions import geo, roads
 from wayloom.operators.sequence import dense_ids
 from wayloom.operators.skew import salted_join
@@ -264,11 +265,12 @@ def segment_pieces(segs: DataFrame) -> DataFrame:
     )
 
 
-def piece_cells(pieces: DataFrame, cell_deg: float, margin_deg: float) -> DataFrame:
+def piece_cells(pieces: DataFrame, cell_deg: float, margin, margin_y: float | None = None) -> DataFrame:
     """Repeat each piece for every grid cell it may touch within the margin.
 
     A long piece is first cut into spans of about one cell, so that it covers the cells along
-    its course and not its whole bounding box.
+    its course and not its whole bounding box. ``margin`` in degrees is a number, or a function of
+    a span's greatest absolute latitude; ``margin_y`` holds for latitudes, if given.
     """
     span = F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay")))
     n = F.greatest(F.ceil(span / cell_deg), F.lit(1)).cast("int")
@@ -276,23 +278,32 @@ def piece_cells(pieces: DataFrame, cell_deg: float, margin_deg: float) -> DataFr
     def cells_of(k: Column) -> Column:
         f0, f1 = k / F.col("_n"), (k + 1) / F.col("_n")
 
-        def reach(a: str, b: str) -> tuple[Column, Column]:
+        def ends(a: str, b: str) -> tuple[Column, Column]:
             d = F.col(b) - F.col(a)
-            u, v = F.col(a) + f0 * d, F.col(a) + f1 * d
-            return (
-                geo.tile_index(F.least(u, v) - margin_deg, F.lit(cell_deg)),
-                geo.tile_index(F.greatest(u, v) + margin_deg, F.lit(cell_deg)),
+            return F.col(a) + f0 * d, F.col(a) + f1 * d
+
+        def cells(wide: Column) -> Column:
+            def reach(u: Column, v: Column, m: Column) -> tuple[Column, Column]:
+                return (
+                    geo.tile_index(F.least(u, v) - m, F.lit(cell_deg)),
+                    geo.tile_index(F.greatest(u, v) + m, F.lit(cell_deg)),
+                )
+
+            high = wide if margin_y is None else F.lit(margin_y)
+            (x0, x1), (y0, y1) = reach(*ends("ax", "bx"), wide), reach(*ends("ay", "by"), high)
+            return F.flatten(
+                F.transform(
+                    F.sequence(x0, x1),
+                    lambda cx: F.transform(
+                        F.sequence(y0, y1), lambda cy: F.struct(cx.alias("cell_x"), cy.alias("cell_y"))
+                    ),
+                )
             )
 
-        (x0, x1), (y0, y1) = reach("ax", "bx"), reach("ay", "by")
-        return F.flatten(
-            F.transform(
-                F.sequence(x0, x1),
-                lambda cx: F.transform(
-                    F.sequence(y0, y1), lambda cy: F.struct(cx.alias("cell_x"), cy.alias("cell_y"))
-                ),
-            )
-        )
+        if not callable(margin):
+            return cells(F.lit(margin))
+        v0, v1 = ends("ay", "by")
+        return geo.bind(margin(F.greatest(F.abs(v0), F.abs(v1))), cells)
 
     spans = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), cells_of)
     return (
@@ -321,7 +332,7 @@ def line_intersections(segs: DataFrame, cell_deg: float = 0.002) -> DataFrame:
 
 def endpoint_near(segs: DataFrame, max_m: float = 1.0) -> DataFrame:
     """Pairs a < b of segments with two ends closer than ``max_m``, and the least distance."""
-    cell = 4.0 * max_m / 111000.0
+    cell = 4.0 * max_m / METERS_PER_DEGREE
     ends = segs.select(
         "segment_id",
         F.explode(F.array(F.element_at("coordinates", 1), F.element_at("coordinates", -1))).alias("c"),
@@ -330,23 +341,26 @@ def endpoint_near(segs: DataFrame, max_m: float = 1.0) -> DataFrame:
         F.col("segment_id").alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay"),
         geo.tile_index(F.col("x"), F.lit(cell)).alias("cell_x"), geo.tile_index(F.col("y"), F.lit(cell)).alias("cell_y"),
     )
-    dy = max_m / 111000.0
-    dx = dy / F.cos(F.radians(F.least(F.abs(F.col("y")) + dy, F.lit(89.0))))
-
-    def span(v: Column, d: Column) -> Column:
-        return F.sequence(geo.tile_index(v - d, F.lit(cell)), geo.tile_index(v + d, F.lit(cell)))
-
+    dy = max_m / METERS_PER_DEGREE
+    polar = F.abs(F.col("y")) + dy >= geo.POLAR_DEG
+    ys = F.sequence(geo.tile_index(F.col("y") - dy, F.lit(cell)), geo.tile_index(F.col("y") + dy, F.lit(cell)))
+    other = ends.select(F.col("segment_id").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by"), "x", "y")
     two = (
-        ends.select(
-            F.col("segment_id").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by"),
-            F.explode(span(F.col("x"), dx)).alias("cell_x"), span(F.col("y"), F.lit(dy)).alias("_ys"),
-        )
-        .withColumn("cell_y", F.explode("_ys"))
-        .drop("_ys")
+        other.filter(~polar)
+        .withColumn("cell_x", F.explode(geo.lon_cells(F.col("x"), geo.lon_reach(F.abs(F.col("y")), dy), cell)))
+        .withColumn("cell_y", F.explode(ys))
+        .drop("x", "y")
+    )
+    # Next to a pole a circle meets all longitudes: those few ends are compared by pole.
+    cap = lambda y: F.when(F.abs(y) + 2 * dy >= geo.POLAR_DEG, F.signum(y))
+    near_pole = one.withColumn("pole", cap(F.col("ay"))).join(
+        other.filter(polar).withColumn("pole", F.signum("y")).drop("x", "y"), "pole"
     )
     d = geo.haversine(F.col("ay"), F.col("ax"), F.col("by"), F.col("bx"))
+    met = salted_join(one, two, ["cell_x", "cell_y"], ["a_id", "ax", "ay"])
+    columns = ["a_id", "ax", "ay", "b_id", "bx", "by"]
     return (
-        salted_join(one, two, ["cell_x", "cell_y"], ["a_id", "ax", "ay"])
+        met.select(columns).unionByName(near_pole.select(columns))
         .filter(F.col("a_id") < F.col("b_id"))
         .withColumn("d", d)
         .filter(F.col("d") < max_m)
