@@ -44,7 +44,6 @@ class MatchConfig:
     detour_limit: float = 5.0
     min_limit_m: float = 1000.0
     max_point_to_route_m: float = 150.0
-    max_rounds: int = 200
     # Cost weights of a window path.
     distance_weight: float = 2.0
     std_dev_weight: float = 0.5

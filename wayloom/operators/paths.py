@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,7 +70,7 @@ def bounded_paths(
     within the limit is never lost to a cheaper but longer beginning. Labels are dropped when
     the straight line to the goal no longer fits the limit (``slack_m`` covers the extent of
     the target segments), or when all targets are reached at a lower cost. The search ends when
-    no label is new. Costs are kept to 1e-9 and lengths to 1e-6, so that equal paths in another
+    no label is new: lengths are bounded by the limits, so it always ends. Costs are kept to 1e-9 and lengths to 1e-6, so that equal paths in another
     order of addition count as equal.
 
     Result: key, to_seg, to_exit, cost, length_m, path (segments with entry and exit index).
@@ -77,7 +79,7 @@ def bounded_paths(
     spark = searches.sparkSession
     trivial, open_targets = _split_trivial(searches, targets, key)
     candidates = materialize(open_targets.select(*key, "to_seg", "to_exit").distinct(), "targets")
-    wanted = materialize(reachable_targets(searches, candidates, key, transitions, cfg.max_rounds), "reachable")
+    wanted = materialize(reachable_targets(searches, candidates, key, transitions), "reachable")
     n_targets = wanted.groupBy(*key).agg(F.countDistinct("to_seg").alias("n_targets"))
     start = searches.join(n_targets, key).select(
         *key, "limit_m", "goal_lat", "goal_lon", "slack_m", "n_targets",
@@ -94,7 +96,7 @@ def bounded_paths(
     def labels() -> DataFrame:
         return spark.read.schema(T.StructType([*columns, T.StructField("round", T.IntegerType())])).parquet(table)
 
-    for number in range(1, cfg.max_rounds + 1):
+    for number in itertools.count(1):
         known = labels()
         frontier = known.filter((F.col("round") == number - 1) & ~F.col("moved")).drop("round", "moved")
         if frontier.isEmpty():
@@ -105,8 +107,6 @@ def bounded_paths(
         twice = _move(once, key, transitions, near, near_key, cfg)
         both = once.withColumn("moved", F.lit(True)).unionByName(twice.withColumn("moved", F.lit(False)))
         _unknown(_undominated(both, key), known, key).write.parquet(f"{table}/round={number}")
-    else:
-        raise RuntimeError(f"path search still open after {cfg.max_rounds} rounds; raise max_rounds")
     found = (
         labels().join(wanted.withColumnRenamed("to_seg", "seg"), [*key, "seg"])
         .groupBy(*key, F.col("seg").alias("to_seg"), "to_exit")
@@ -124,19 +124,23 @@ def bounded_paths(
     return paths.unionByName(trivial)
 
 
-def reachable_targets(searches: DataFrame, targets: DataFrame, key: list[str], transitions: DataFrame, max_rounds: int) -> DataFrame:
+def reachable_targets(searches: DataFrame, targets: DataFrame, key: list[str], transitions: DataFrame) -> DataFrame:
     """Targets their search can reach at all, so that no search runs for the others.
 
     Needs no costs, so it is shared by all searches from one segment and vertex, whatever their
-    trip, and stays within the largest limit around the start. On a two-way segment every entry
+    trip, and stays within the largest reach of them around one start point: each search's limit and
+    slack, plus the way from that search's own start to this one. On a two-way segment every entry
     is as good as any other; on a one-way segment the lowest entry index is the best one.
     """
     spark = searches.sparkSession
     source = ["from_seg", "from_entry"]
     table = scratch_path(spark, "reach")
-    start = searches.groupBy(*source).agg(
-        F.max(F.col("limit_m") + F.col("start_slack_m")).alias("reach_m"),
-        F.first("start_lat").alias("start_lat"), F.first("start_lon").alias("start_lon"),
+    one = searches.groupBy(*source).agg(F.min(F.struct("start_lat", "start_lon")).alias("one"))
+    apart = geo.haversine(F.col("one.start_lat"), F.col("one.start_lon"), F.col("start_lat"), F.col("start_lon"))
+    start = (
+        searches.join(one, source).groupBy(*source)
+        .agg(F.max(F.col("limit_m") + F.col("start_slack_m") + apart).alias("reach_m"), F.first("one").alias("one"))
+        .select(*source, "reach_m", "one.*")
     )
     start.select("*", F.col("from_seg").alias("seg"), F.col("from_entry").cast("int").alias("entry"), F.lit(False).alias("moved")).write.parquet(f"{table}/round=0")
     columns = spark.read.parquet(f"{table}/round=0").schema.fields
@@ -157,7 +161,7 @@ def reachable_targets(searches: DataFrame, targets: DataFrame, key: list[str], t
             )
         )
 
-    for number in range(1, max_rounds + 1):
+    for number in itertools.count(1):
         known = spark.read.schema(whole).parquet(table)
         frontier = known.filter((F.col("round") == number - 1) & ~F.col("moved")).drop("round", "moved")
         if frontier.isEmpty():
@@ -171,8 +175,6 @@ def reachable_targets(searches: DataFrame, targets: DataFrame, key: list[str], t
         for c in [*source, "seg"]:
             on = on & (F.col(f"n.{c}") == F.col(f"k.{c}"))
         new.join(k, on, "left_anti").select([f.name for f in columns]).write.parquet(f"{table}/round={number}")
-    else:
-        raise RuntimeError(f"reach search still open after {max_rounds} rounds; raise max_rounds")
     reached = spark.read.schema(whole).parquet(table).select(*source, F.col("seg").alias("to_seg")).distinct()
     return targets.join(searches.select(*key, *source), key).join(reached, [*source, "to_seg"], "left_semi").select(targets.columns)
 
