@@ -97,17 +97,16 @@ def processing_state(i):
     "import_list",
     with_ctes(
         """SELECT user_id, batch_id, batch_t, n_points, CASE batch_id%3 WHEN 0 THEN 'Google Maps' WHEN 1 THEN 'Apple Health' ELSE 'other' END AS import_type
-FROM batches ORDER BY batch_t DESC, batch_id LIMIT 500"""
+FROM batches ORDER BY batch_t DESC, batch_id"""
     ),
 )
 def import_list(i):
-    """Newest imports first, with shown type names."""
+    """All imports, newest first, with shown type names."""
     kind = F.expr("CASE batch_id%3 WHEN 0 THEN 'google_maps_timeline' WHEN 1 THEN 'apple_health' ELSE 'other' END")
     return (
         i.batches()
         .select("user_id", "batch_id", "batch_t", "n_points", labels.import_label(kind).alias("import_type"))
         .orderBy(F.desc("batch_t"), "batch_id")
-        .limit(500)
     )
 
 

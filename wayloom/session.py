@@ -30,14 +30,17 @@ def local_session(cores: int = 8, app_name: str = "wayloom") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests on one
-    machine) a temporary folder is made, once per session.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and Spark runs on one machine
+    (tests) a temporary folder is made, once per session; a cluster without the setting is an error, since
+    its executors don't see the driver's folders.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not named:
         named = spark.conf.get("wayloom.local.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not named:
         named = tempfile.mkdtemp(prefix="wayloom-ckpt-")
         spark.conf.set("wayloom.local.checkpoint.dir", named)

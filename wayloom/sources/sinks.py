@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 
 def append_events(df: DataFrame, path: str, time_col: str) -> None:
-    """Append rows, one folder per day. Rows of a day are first brought together, split
-    further by hash so that a busy day is not one task."""
+    """Append rows, one folder per day. Rows of a day are brought together; days too large for
+    one task are split by the engine, by their size."""
     dated = df.withColumn("event_date", F.to_date(time_col))
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if not c.startswith("_")]), F.lit(16))
     (
-        dated.repartition("event_date", spread)
+        dated.hint("rebalance", "event_date")
         .write.mode("append")
         .partitionBy("event_date")
         .parquet(path)
@@ -20,9 +19,9 @@ def append_events(df: DataFrame, path: str, time_col: str) -> None:
 
 
 def write_tiles(df: DataFrame, path: str) -> None:
-    """One folder per tile; ``df`` has depth, tile_x and tile_y."""
+    """One folder per tile; ``df`` has depth, tile_x and tile_y. A crowded tile is several files, by size."""
     (
-        df.repartition("depth", "tile_x", "tile_y")
+        df.hint("rebalance", "depth", "tile_x", "tile_y")
         .write.mode("overwrite")
         .partitionBy("depth", "tile_x", "tile_y")
         .parquet(path)
