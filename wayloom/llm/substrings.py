@@ -44,6 +44,7 @@ HALF = 10
 PREFIX = 5
 BUCKET_BYTES = 32 << 20  # of text for each group of suffixes
 MIN_BUCKETS = 64
+BATCH_BYTES = 8 << 20  # of text whose suffixes are packed at a time
 SAMPLE = 64  # one document in so many tells which prefixes are frequent
 FREQUENT = 200_000  # suffixes with a prefix, above which it is lengthened
 
@@ -68,6 +69,13 @@ def _windows(texts: pa.Array) -> tuple[words.Words, np.ndarray, np.ndarray, np.n
     return w, h, half, starts, doc[starts], anchor
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``BATCH_BYTES`` of text (or one row), so that a task's arrays stay small."""
+    for b in batches:
+        for lo, hi in words.slices(column(b, "text"), BATCH_BYTES):
+            yield b.slice(lo, hi - lo)
+
+
 def _by_doc(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     """Documents once, each with its values packed."""
     order = np.argsort(doc, kind="stable")
@@ -81,7 +89,7 @@ def _anchors(rows: DataFrame, buckets: int) -> DataFrame:
     """Rows v, anchors: by document, packed hashes of its anchors that occur again."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _small(batches):
             ids, texts = column(b, "id").to_numpy(), column(b, "text")
             hashes, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for lo, hi in words.slices(texts):
@@ -158,7 +166,7 @@ def _starts(rows: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
     """Rows v, starts: by document, packed starts of its repeated windows. ``rows``: id, text, anchors."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _small(batches):
             ids, texts = column(b, "id").to_numpy(), column(b, "text")
             known_by_row = column(b, "anchors").to_pylist()
             parts: list[list[np.ndarray]] = [[] for _ in range(5)]
