@@ -9,7 +9,7 @@ which the window's vector has a projection of ``COVER`` of their own length or m
 around the window holds ``LCS`` of the passage's words, or ``LCS_WITH_ANSWER`` of them and the answer
 (a column of the benchmark, else the item's last sentence) word by word.
 
-Words in more than ``MAX_SHARE`` of the documents are left out of the matrix, but every passage keeps its
+Words in more than ``MAX_SHARE`` of the documents (and ``MIN_COMMON`` at least) are left out of the matrix, but every passage keeps its
 ``KEPT`` rarest words; the subsequence is over all words. Words are runs of letters and digits in lower
 case.
 
@@ -42,6 +42,7 @@ STEP = 32
 RANK = 256
 SHARD = 1000
 MAX_SHARE = 0.05
+MIN_COMMON = 20
 KEPT = 8
 ROUNDS = 3
 COSINE = 0.35
@@ -189,7 +190,7 @@ def _space(docs: DataFrame, text: str, passages: _Passages) -> _Space | None:
     vocabulary = np.unique(np.concatenate(passages.words))
     counts, n = _document_counts(docs, text, vocabulary)
     weight = np.log((n + 1) / (counts + 0.5))
-    rows = _sparse(passages.words, vocabulary, np.maximum(weight, 1e-3), counts <= MAX_SHARE * n)
+    rows = _sparse(passages.words, vocabulary, np.maximum(weight, 1e-3), counts <= max(MAX_SHARE * n, MIN_COMMON))
     features = np.unique(np.concatenate([k for k, _, _ in rows]))
     length = np.array([x for _, _, x in rows])
     rows = [(np.searchsorted(features, k), v) for k, v, _ in rows]
