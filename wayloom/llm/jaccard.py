@@ -12,12 +12,12 @@ sets then share a later dealing. A set near the upper end of its band also joins
 Keys are packed by bucket into one row per batch and bucket, after documents of one batch with an equal key
 have been replaced by the smallest of them: a text that a third of all documents hold adds one entry per
 batch. In a bucket every document with a key is paired with the key's smallest one, so a group of g
-documents gives g - 1 candidate pairs. They are verified on the whole shingle sets.
+documents gives g - 1 candidate pairs. Those within the bounds of size and of differing parts are verified on
+the whole shingle sets.
 
 That is enough for all groups but those where a pair failed: there any two documents may still be
-similar. For these, all documents with a key that two documents of failed pairs share are compared in
-blocks, by size and by the number of differing parts (a lower bound of the symmetric difference), and what
-remains is verified. Verified pairs are joined into components.
+similar. The documents of these groups that aren't in one component yet are compared in blocks by the same
+two bounds, and what remains is verified. Verified pairs are joined into components.
 
 Results in special cases: null texts and texts without words have the empty set, link with nothing and are
 their own component; fewer than five words are one shingle; rows with a null id link with nothing
@@ -45,9 +45,10 @@ BAND = 1.5  # ratio of the sizes in a band
 BUCKET_BYTES = 32 << 20  # of text for each bucket of keys
 MIN_BUCKETS = 64
 SEEDS = 64
+_CODE = np.uint64(4095)  # bands up to 64, so sets of up to 10 ** 11 shingles
 BLOCK = 512  # documents of a block in the comparison of failed groups
-#: Up to so many shared keys (8 bytes each) they are broadcast; beyond, keys are shuffled to them.
-BROADCAST_KEYS = 2_000_000
+CALL_ROWS = 10_000  # of small groups that are compared in one call
+BATCH_BYTES = 8 << 20  # of text whose keys are packed at a time
 
 
 class Sets(NamedTuple):
@@ -92,16 +93,16 @@ def _parts_of(top: np.ndarray) -> np.ndarray:
 
 class Sketches(NamedTuple):
     doc: np.ndarray  # of each non-empty part: the row
-    key: np.ndarray  # and the hash of (band, seed, part, XOR)
-    part: np.ndarray  # and its place in ``xor``
+    key: np.ndarray  # and a hash of (code, part, XOR) whose low bits are the code
     owner: np.ndarray  # of each sketch: the row
-    band: np.ndarray  # and 64 * the band + the seed
+    code: np.ndarray  # and SEEDS * the band + the seed
     begin: np.ndarray  # and its first place in ``xor``; one more at the end
     xor: np.ndarray
 
 
-def sketches(sets: Sets) -> list[Sketches]:
-    """Parity sketches in each set's own band, and in the next for sets that can link into it."""
+def sketches(sets: Sets, fine: bool = False) -> list[Sketches]:
+    """Parity sketches in each set's own band, and in the next for sets that can link into it. ``fine``
+    ones have about a part for each shingle, which bounds the difference more closely."""
     bands = _bands(int(sets.size.max(initial=0)) + 1)
     own = np.searchsorted(bands, sets.size, "right") - 1
     some = sets.size > 0
@@ -114,21 +115,21 @@ def sketches(sets: Sets) -> list[Sketches]:
                 break
             s = _sketch(sets, rows, own + up, bands, seed)
             full = np.bincount(s.doc, minlength=len(rows))
-            out.append(s)
+            out.append(_sketch(sets, rows, own + up, bands, seed, fine) if fine else s)
             rows = rows & (full <= sets.size // 4)
     return out
 
 
-def _sketch(sets: Sets, rows: np.ndarray, band: np.ndarray, bands: np.ndarray, seed: int) -> Sketches:
+def _sketch(sets: Sets, rows: np.ndarray, band: np.ndarray, bands: np.ndarray, seed: int, fine: bool = False) -> Sketches:
     owner = np.flatnonzero(rows)
     top = bands[np.minimum(band[owner] + 1, len(bands) - 1)] - 1
-    parts = _parts_of(top)
+    parts = top if fine else _parts_of(top)
     begin = np.concatenate([[0], np.cumsum(parts)])
     place = np.zeros(len(rows), np.int64)
     place[owner] = np.arange(len(owner))
     take = rows[sets.doc]
     at, value = place[sets.doc[take]], sets.shingle[take]
-    shift = np.uint64(0x9E3779B97F4A7C15 * (2 * seed + 1) & (1 << 64) - 1)
+    shift = np.uint64(0x9E3779B97F4A7C15 * (4 * seed + 1 + 2 * fine) & (1 << 64) - 1)
     deal = words.mix(value + shift) >> np.uint64(32)
     part = begin[at] + ((deal * parts[at].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
     xor = np.zeros(begin[-1], np.uint64)
@@ -139,7 +140,8 @@ def _sketch(sets: Sets, rows: np.ndarray, band: np.ndarray, bands: np.ndarray, s
     which = np.searchsorted(begin, found, "right") - 1
     code = band[owner] * SEEDS + seed
     salt = words.mix((code[which].astype(np.uint64) << np.uint64(40)) + (found - begin[which]).astype(np.uint64))
-    return Sketches(owner[which], words.mix(xor[found] ^ salt), found, owner, code, begin, xor)
+    key = words.mix(xor[found] ^ salt) & ~_CODE | code[which].astype(np.uint64)
+    return Sketches(owner[which], key, owner, code, begin, xor)
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -160,58 +162,105 @@ def _keys(ids: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _smallest(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys once, each with its smallest document, and the pairs (document, smallest) of the others."""
+    """Keys once, each with its smallest document, and rows (document, smallest, key) of the others."""
     order = np.lexsort((doc, key))
     key, doc = key[order], doc[order]
     first = np.ones(len(key), bool)
     first[1:] = key[1:] != key[:-1]
-    group = np.cumsum(first) - 1
-    head = doc[first]
-    other = doc != head[group]
-    pairs = np.unique(np.stack([doc[other], head[group][other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-    return key[first], head, pairs
+    head = doc[first][np.cumsum(first) - 1]
+    other = doc != head
+    return key[first], doc[first], np.stack([doc[other], head[other], key[other].view(np.int64)])
 
 
 def _candidates(rows: DataFrame, buckets: int) -> DataFrame:
-    """Rows kind, a, b: kind 0 a candidate pair, kind 1 a row's id and set size."""
+    """Rows kind, a, b, key: kind 0 a candidate pair and the key it shares, kind 1 a row's id and set size."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = column(b, "id").to_numpy()
-            key, doc, sizes = _keys(ids, column(b, "text"))
-            key, doc, pairs = _smallest(key, doc)
-            bucket = (key >> np.uint64(32)).astype(np.int64) * buckets >> 32
-            cut = np.searchsorted(bucket, np.arange(buckets + 1))  # keys ascend, so buckets do
-            some = np.flatnonzero(np.diff(cut))
-            kinds = [*some.tolist(), -1 - int(ids[0]) % buckets, -1 - int(ids[0]) % buckets]
-            left = [key[cut[k] : cut[k + 1]].tobytes() for k in some] + [pairs[:, 0].tobytes(), ids.tobytes()]
-            right = [doc[cut[k] : cut[k + 1]].tobytes() for k in some] + [pairs[:, 1].tobytes(), sizes.tobytes()]
-            what = [0] * len(some) + [1, 2]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(kinds, pa.int64()), pa.array(what, pa.int32()), pa.array(left, pa.binary()), pa.array(right, pa.binary())],
-                names=["bucket", "what", "l", "r"],
-            )
+        for whole in batches:
+            for lo, hi in words.slices(column(whole, "text"), BATCH_BYTES):
+                b = whole.slice(lo, hi - lo)
+                ids = column(b, "id").to_numpy()
+                key, doc, sizes = _keys(ids, column(b, "text"))
+                key, doc, pairs = _smallest(key, doc)
+                bucket = (key >> np.uint64(32)).astype(np.int64) * buckets >> 32
+                cut = np.searchsorted(bucket, np.arange(buckets + 1))  # keys ascend, so buckets do
+                some = np.flatnonzero(np.diff(cut))
+                where = [*some.tolist(), *[-1 - int(ids[0]) % buckets] * 2]
+                left = [key[cut[k] : cut[k + 1]].tobytes() for k in some] + [pairs.tobytes(), ids.tobytes()]
+                right = [doc[cut[k] : cut[k + 1]].tobytes() for k in some] + [b"", sizes.tobytes()]
+                what = [0] * len(some) + [1, 2]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(where, pa.int64()), pa.array(what, pa.int32()), pa.array(left, pa.binary()), pa.array(right, pa.binary())],
+                    names=["bucket", "what", "l", "r"],
+                )
 
     def meet(t: pa.Table) -> pa.Table:
-        kind, a, b = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        pairs, sizes = [np.zeros((3, 0), np.int64)], [np.zeros((2, 0), np.int64)]
         key, doc = [], []
         for what, x, y in zip(*(t.column(c).to_pylist() for c in ("what", "l", "r")), strict=True):
             if what == 0:
                 key.append(np.frombuffer(x, np.uint64))
                 doc.append(np.frombuffer(y, np.int64))
+            elif what == 1:
+                pairs.append(np.frombuffer(x, np.int64).reshape(3, -1))
             else:
-                a.append(np.frombuffer(x, np.int64))
-                b.append(np.frombuffer(y, np.int64))
-                kind.append(np.full(len(a[-1]), what - 1, np.int32))
+                sizes.append(np.stack([np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)]))
         if key:
-            pairs = _smallest(np.concatenate(key), np.concatenate(doc))[2]
-            a.append(pairs[:, 0])
-            b.append(pairs[:, 1])
-            kind.append(np.zeros(len(pairs), np.int32))
-        return pa.table({"kind": np.concatenate(kind), "a": np.concatenate(a), "b": np.concatenate(b)})
+            pairs.append(_smallest(np.concatenate(key), np.concatenate(doc))[2])
+        (a, b, k), (v, n) = np.concatenate(pairs, 1), np.concatenate(sizes, 1)
+        kind = np.repeat(np.array([0, 1], np.int32), [len(a), len(v)])
+        return pa.table(
+            {"kind": kind, "a": np.append(a, v), "b": np.append(b, n), "key": np.append(k, np.zeros_like(v))}
+        )
 
     packed = rows.mapInArrow(pack, "bucket long, what int, l binary, r binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "kind int, a long, b long")
+    return packed.groupBy("bucket").applyInArrow(meet, "kind int, a long, b long, key long")
+
+
+def _sketch_table(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows v, code, size, parts: the fine sketches of some documents, a byte of each part's XOR."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, texts = column(b, "id").to_numpy(), column(b, "text")
+            for lo, hi in words.slices(texts):
+                sets = shingle_sets(texts.slice(lo, hi - lo))
+                for s in sketches(sets, fine=True):
+                    low = s.xor.astype(np.uint8)
+                    packed = [low[s.begin[k] : s.begin[k + 1]].tobytes() for k in range(len(s.owner))]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[lo:hi][s.owner]), pa.array(s.code), pa.array(sets.size[s.owner]), pa.array(packed, pa.binary())],
+                        names=["v", "code", "size", "parts"],
+                    )
+
+    # A row that repeats an id with another text has sketches of its own, and may be the one that links.
+    return only(rows, "id", ids).mapInArrow(run, "v long, code long, size long, parts binary").distinct()
+
+
+def _near(size_a, size_b, differ):
+    """What the bounds leave: sizes within 0.8 and no more differing parts than the symmetric difference may have."""
+    return (100 * np.minimum(size_a, size_b) >= 80 * np.maximum(size_a, size_b)) & (9 * differ <= size_a + size_b)
+
+
+def _plausible(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """Of the pairs (a, b, code) those whose sketches are near enough, as distinct (a, b)."""
+    side = lambda v: table.select(
+        F.col("v").alias(v), "code", F.col("size").alias(f"size_{v}"), F.col("parts").alias(f"parts_{v}")
+    )
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            differ = [
+                np.count_nonzero(np.frombuffer(x.as_buffer(), np.uint8) != np.frombuffer(y.as_buffer(), np.uint8))
+                for x, y in zip(column(b, "parts_a"), column(b, "parts_b"), strict=True)
+            ]
+            near = _near(column(b, "size_a").to_numpy(), column(b, "size_b").to_numpy(), np.array(differ, np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [c.filter(pa.array(near)) for c in (column(b, "a"), column(b, "b"))], names=["a", "b"]
+            )
+
+    joined = pairs.join(side("a"), ["a", "code"]).join(side("b"), ["b", "code"])
+    return joined.mapInArrow(check, "a long, b long").distinct()
 
 
 def similar(size_a: np.ndarray, size_b: np.ndarray, both: np.ndarray) -> np.ndarray:
@@ -253,82 +302,63 @@ def _verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return checked.groupBy("a", "b").agg(F.max("ok").alias("ok"))
 
 
-def _rest(rows: DataFrame, failed: DataFrame, groups: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of the groups in which a pair failed."""
-    open_ids = failed.select(F.explode(F.array("a", "b")).alias("v")).distinct()
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            key, doc, _ = _keys(column(b, "id").to_numpy(), column(b, "text"))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc)], names=["key", "id"])
-
-    shared = (
-        only(rows, "id", open_ids).mapInArrow(keys, "key long, id long")
-        .groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
-    )
-    shared = materialize(shared, "shared-keys")
-    held = None
-    if shared.count() <= BROADCAST_KEYS:
-        known = np.sort(np.array([r["key"] for r in shared.collect()], np.int64).view(np.uint64))
-        held = rows.sparkSession.sparkContext.broadcast(known)
-
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "id", "size", "parts"]
-        for b in batches:
-            ids, texts = column(b, "id").to_numpy(), column(b, "text")
-            for lo, hi in words.slices(texts):
-                sets = shingle_sets(texts.slice(lo, hi - lo))
-                for s in sketches(sets):
-                    at = np.arange(len(s.key))
-                    if held is not None:
-                        at = np.flatnonzero(np.isin(s.key, held.value))
-                    which = np.searchsorted(s.begin, s.part[at], "right") - 1
-                    low = s.xor.astype(np.uint8)
-                    packed = [low[s.begin[k] : s.begin[k + 1]].tobytes() for k in which.tolist()]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(s.key[at].view(np.int64)), pa.array(ids[lo:hi][s.doc[at]]),
-                            pa.array(sets.size[s.doc[at]]), pa.array(packed, pa.binary()),
-                        ],
-                        names=names,
-                    )
-
-    all_members = rows.mapInArrow(members, "key long, id long, size long, parts binary")
-    if held is None:
-        all_members = all_members.join(shared, "key", "left_semi")
-    all_members = all_members.join(groups.withColumnRenamed("v", "id"), "id", "left").withColumn(
-        "component", F.coalesce("component", "id")
-    )
-    all_members = materialize(all_members, "members")
-    # Groups whose documents are all in one component are done.
+def _rest(pairs: DataFrame, failed: DataFrame, groups: DataFrame, table: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of the groups in which a pair failed. ``pairs``: all (a, b, key)."""
+    keys = pairs.join(failed, ["a", "b"], "left_semi").select("key").distinct()
+    own = pairs.join(keys, "key", "left_semi")
+    members = own.select("key", F.col("a").alias("v")).unionByName(own.select("key", F.col("b").alias("v"))).distinct()
+    members = members.join(groups, "v", "left").withColumn("component", F.coalesce("component", "v"))
+    members = materialize(members, "members")
+    # Groups of two have been compared, and those whose documents are all in one component are done. Keys with
+    # the same documents (known by two 64-bit sums) are one group.
     several = (
-        all_members.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n"))
-        .filter("c0 < c1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        members.groupBy("key")
+        .agg(
+            F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n"),
+            F.bit_xor(F.xxhash64("v")).alias("x"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("y"),
+        )
+        .filter("c0 < c1 and n > 2")
+        .groupBy(F.col("key").bitwiseAND(F.lit(int(_CODE))).alias("code"), "n", "x", "y").agg(F.min("key").alias("key"))
+        .select("key", "code", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     )
-    dealt = all_members.join(several, "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    several = materialize(several, "groups")
+    total = several.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
+    dealt = members.join(several.drop("n"), "key").join(table, ["v", "code"])
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("v"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = dealt.select("key", "id", "size", "parts", "component", "own", other)
+    dealt = dealt.select("key", "v", "size", "parts", "component", "own", other)
     dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
+    # Many small groups are compared in one call.
+    bucket = F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, -(-total // CALL_ROWS))))
 
     def compare(t: pa.Table) -> pa.Table:
-        ids, size, group, own = (t.column(c).to_numpy() for c in ("id", "size", "component", "own"))
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        parts = np.frombuffer(b"".join(t.column("parts").to_pylist()), np.uint8).reshape(len(ids), -1)
-        left = np.flatnonzero(own == i)
-        right = left if i == j else np.flatnonzero(own == j)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k in left:
-            differ = np.count_nonzero(parts[right] != parts[k], axis=1)
-            near = (9 * differ <= size[right] + size[k]) & (group[right] != group[k])
-            near &= (100 * np.minimum(size[right], size[k]) >= 80 * np.maximum(size[right], size[k]))
-            m = right[near]
-            a.append(np.maximum(ids[m], ids[k]))
-            b.append(np.minimum(ids[m], ids[k]))
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    pairs = dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
-    return pairs.join(failed.select("a", "b"), ["a", "b"], "left_anti")
+        names = ("key", "i", "j", "v", "size", "component", "own")
+        key, i, j, ids, size, group, own = (t.column(c).to_numpy() for c in names)
+        parts = t.column("parts").to_pylist()
+        order = np.lexsort((j, i, key))
+        begin = np.flatnonzero(np.append(True, np.any([np.diff(x[order]) != 0 for x in (key, i, j)], axis=0)))
+        out = [np.zeros((2, 0), np.int64)]
+        for rows_ in np.split(order, begin[1:]):
+            if i[rows_[0]] == j[rows_[0]]:
+                left = right = rows_
+            else:
+                left, right = rows_[own[rows_] == i[rows_[0]]], rows_[own[rows_] == j[rows_[0]]]
+            if not len(left) or not len(right):
+                continue
+            there = np.frombuffer(b"".join([parts[k] for k in right]), np.uint8).reshape(len(right), -1)
+            n, g = size[right], group[right]
+            for at, k in enumerate(left):
+                rest = slice(at + 1 if left is right else 0, None)
+                some = np.flatnonzero((g[rest] != group[k]) & _near(n[rest], size[k], 0))
+                if len(some):
+                    differ = np.count_nonzero(there[rest][some] != np.frombuffer(parts[k], np.uint8), axis=1)
+                    m = right[rest][some][_near(n[rest][some], size[k], differ)]
+                    out.append(np.stack([np.maximum(ids[m], ids[k]), np.minimum(ids[m], ids[k])]))
+        a, b = np.unique(np.concatenate(out, 1), axis=1)
+        return pa.table({"a": a, "b": b})
+
+    found = dealt.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(compare, "a long, b long").distinct()
+    return found.join(failed, ["a", "b"], "left_anti")
 
 
 def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -338,15 +368,18 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     size = named.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(MIN_BUCKETS, -(-size // BUCKET_BYTES))
     found = materialize(_candidates(named, buckets), "candidates")
-    pairs = found.filter("kind = 0").select("a", "b").distinct()
-    checked = materialize(_verified(named, pairs), "verified")
-    good, failed = checked.filter("ok").select("a", "b"), checked.filter(~F.col("ok")).select("a", "b")
+    pairs = found.filter("kind = 0").select("a", "b", "key")
+    coded = pairs.select("a", "b", F.col("key").bitwiseAND(F.lit(int(_CODE))).alias("code")).distinct()
+    coded = materialize(coded, "pairs")
+    table = materialize(_sketch_table(named, coded.select(F.explode(F.array("a", "b")).alias("v")).distinct()), "sketches")
+    checked = materialize(_verified(named, materialize(_plausible(coded, table), "plausible")), "verified")
+    good = checked.filter("ok").select("a", "b")
+    failed = materialize(coded.select("a", "b").distinct().join(good, ["a", "b"], "left_anti"), "failed")
     groups = materialize(components(good), "components")
-    if failed.limit(1).count():
-        more = materialize(_verified(named, materialize(_rest(named, failed, groups), "rest")), "verified-rest")
-        more = more.filter("ok").select("a", "b")
-        if more.limit(1).count():
-            groups = materialize(components(good.unionByName(more)), "components")
+    rest = materialize(_rest(pairs, failed, groups, table), "rest")
+    more = materialize(_verified(named, rest).filter("ok").select("a", "b"), "verified-rest")
+    if more.limit(1).count():
+        groups = materialize(components(good.unionByName(more)), "components")
     sizes = found.filter("kind = 1").select(F.col("a").alias("v"), F.col("b").alias("n_shingles"))
     out = sizes.join(groups, "v", "left").select(
         F.col("v").alias(doc_id), "n_shingles", F.coalesce("component", "v").alias("component_id")
