@@ -96,3 +96,32 @@ def test_line_distance_matches_columns(spark):
     line = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in coords])
     for r in df.select("lon", "lat", geo.distance_to_polyline(F.col("lon"), F.col("lat"), line).alias("d")).collect():
         assert abs(r.d - line_distance(r.lat, r.lon, [c[0] for c in coords], [c[1] for c in coords])) < 1e-6
+
+
+def test_attempts_tell_why_a_window_failed(spark):
+    """Windows whose pairs are all too far, all apart, of both kinds, found, or missing."""
+    from wayloom.operators import diagnose
+
+    line = lambda x: [{"x": x, "y": 0.0}, {"x": x + 0.002, "y": 0.0}]
+    segs = spark.createDataFrame([(k, line(k * 0.01)) for k in range(1, 7)], "segment_id long, coordinates array<struct<x:double,y:double>>")
+    moves = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "src long, dst long")
+    rows = [(w, 0, 1, r) for w in range(5) for r in (1,)]
+    ends = {0: [4], 1: [5], 2: [4, 5], 3: [2, 1], 4: [1]}
+    cands = [("t%d" % w, 0, 1, 10, 1) for w, *_ in rows] + [
+        ("t%d" % w, 1, s, 10 * s, k + 1) for w, segments in ends.items() for k, s in enumerate(segments)
+    ]
+    candidates = spark.createDataFrame(cands, "trip_id string, point_idx long, segment_id long, way_id long, rank long")
+    windows = spark.createDataFrame([("t%d" % w, 0, 0, 1) for w in range(5)], "trip_id string, window_idx long, start_idx long, end_idx long")
+    paths = spark.createDataFrame([("t3", 0, 1, 2, 5.0, [1, 2])], "trip_id string, window_idx long, from_seg long, to_seg long, cost double, path array<int>")
+    tried = diagnose.path_attempts(candidates, windows, paths, segs, moves)
+    got = {(r.trip_id, r.to_seg): (r.result, round(r.distance_m)) for r in tried.collect()}
+    assert got == {
+        ("t0", 4): ("too_far", 3336), ("t1", 5): ("no_connection", 4448), ("t2", 4): ("too_far", 3336),
+        ("t2", 5): ("no_connection", 4448), ("t3", 2): ("success", 1112),
+    }
+    reasons = {r.trip_id: (r.n_attempts, r.reason) for r in diagnose.attempt_summary(tried, windows).collect()}
+    assert reasons == {
+        "t0": (1, "every pair is beyond the length limit"), "t1": (1, "no pair is connected by roads"),
+        "t2": (2, "1 pairs beyond the length limit, 1 not connected"), "t3": (1, "1 of 1 pairs have a path"),
+        "t4": (0, "no pair of candidates to search between"),
+    }

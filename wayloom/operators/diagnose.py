@@ -12,45 +12,47 @@ from wayloom.operators.matching import WINDOW
 PAIR = [*WINDOW, "from_seg", "to_seg"]
 
 
-def candidate_pairs(candidates: DataFrame, windows: DataFrame, top: int | None = None) -> DataFrame:
-    """First × last candidates of every window with the distance between the two points.
+def candidate_pairs(candidates: DataFrame, windows: DataFrame, segs: DataFrame, top: int | None = None) -> DataFrame:
+    """First × last candidates of every window, without pairs on one segment, and the distance between
+    the reference points of both segments.
 
     A window has at most ``max_candidates`` candidates on each side. ``top`` keeps the best few.
     """
-    c = candidates.select("trip_id", "point_idx", "segment_id", "way_id", "rank", "lat", "lon")
+    c = candidates.select("trip_id", "point_idx", "segment_id", "way_id", "rank")
     if top is not None:
         c = c.filter(F.col("rank") <= top)
+    c = c.join(segs.select("segment_id", geo.ends_midpoint(F.col("coordinates")).alias("mid")), "segment_id")
 
-    def side(idx: str, end: str, at: str) -> DataFrame:
+    def side(idx: str, end: str) -> DataFrame:
         return c.select(
             "trip_id", F.col("point_idx").alias(idx), F.col("segment_id").alias(f"{end}_seg"),
-            F.col("way_id").alias(f"{end}_way"), F.col("lat").alias(f"{at}_lat"), F.col("lon").alias(f"{at}_lon"),
+            F.col("way_id").alias(f"{end}_way"), F.col("mid").alias(f"{end}_mid"),
         )
 
-    apart = geo.haversine(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
+    apart = geo.haversine(F.col("from_mid.y"), F.col("from_mid.x"), F.col("to_mid.y"), F.col("to_mid.x"))
     return (
-        windows.join(side("start_idx", "from", "a"), ["trip_id", "start_idx"])
-        .join(side("end_idx", "to", "b"), ["trip_id", "end_idx"])
+        windows.join(side("start_idx", "from"), ["trip_id", "start_idx"])
+        .join(side("end_idx", "to"), ["trip_id", "end_idx"])
+        .filter(F.col("from_seg") != F.col("to_seg"))
         .select(*PAIR, "from_way", "to_way", apart.alias("distance_m"))
     )
 
 
-def path_attempts(candidates: DataFrame, windows: DataFrame, paths: DataFrame, transitions: DataFrame, top: int | None = None) -> DataFrame:
-    """Every candidate pair of every window with the outcome of its search."""
+def path_attempts(candidates: DataFrame, windows: DataFrame, paths: DataFrame, segs: DataFrame, transitions: DataFrame, top: int | None = None) -> DataFrame:
+    """Every candidate pair of every window with the outcome of its search: "success"; "no_connection"
+    where no road leaves the first segment or enters the last; else "too_far", since a search ends
+    without a path only when its length limit leaves nothing to try."""
     leaves = transitions.select(F.col("src").alias("from_seg")).distinct().withColumn("_leaves", F.lit(True))
     enters = transitions.select(F.col("dst").alias("to_seg")).distinct().withColumn("_enters", F.lit(True))
-    found = paths.select(*PAIR, "cost", "limit_m", F.size("path").alias("n_steps"))
-    limits = paths.groupBy(*WINDOW).agg(F.first("limit_m").alias("window_limit"))
+    found = paths.select(*PAIR, "cost", F.size("path").alias("n_steps"))
     result = (
         F.when(F.col("cost").isNotNull(), "success")
-        .when(F.col("from_seg") == F.col("to_seg"), "success")
-        .when(F.col("distance_m") > F.col("window_limit"), "too_far")
         .when(F.col("_leaves").isNull() | F.col("_enters").isNull(), "no_connection")
-        .otherwise("no_path_found")
+        .otherwise("too_far")
     )
     return (
-        candidate_pairs(candidates, windows, top)
-        .join(found, PAIR, "left").join(limits, WINDOW, "left")
+        candidate_pairs(candidates, windows, segs, top)
+        .join(found, PAIR, "left")
         .join(leaves, "from_seg", "left").join(enters, "to_seg", "left")
         .select(*PAIR, "from_way", "to_way", "distance_m", "cost", "n_steps", result.alias("result"))
     )
@@ -68,16 +70,14 @@ def attempt_summary(attempts: DataFrame, windows: DataFrame) -> DataFrame:
     )
     n = F.coalesce("n", F.lit(0))
     text = lambda c: F.col(c).cast("string")
+    # Worded for this library; n_attempts tells the rest.
     reason = (
-        F.when(n == 0, "No valid candidate pairs were found to attempt pathfinding")
-        .when(F.col("n_success") > 0, F.concat(F.lit("Found "), text("n_success"), F.lit(" successful paths, but constraints may prevent using them")))
-        .when(F.col("n_far") == n, "All candidate pairs exceed the maximum distance limit")
-        .when(F.col("n_apart") == n, "No connection exists between any start and end candidates")
-        .otherwise(F.concat(
-            F.lit("Mixed pathfinding failures: "), text("n_far"), F.lit("/"), text("n"), F.lit(" too far, "),
-            text("n_apart"), F.lit("/"), text("n"), F.lit(" no connection, others failed during the search"),
-        ))
-    )
+        F.when(n == 0, "no pair of candidates to search between")
+        .when(F.col("n_success") > 0, F.concat(text("n_success"), F.lit(" of "), text("n"), F.lit(" pairs have a path")))
+        .when(F.col("n_far") == n, "every pair is beyond the length limit")
+        .when(F.col("n_apart") == n, "no pair is connected by roads")
+        .otherwise(F.concat(text("n_far"), F.lit(" pairs beyond the length limit, "), text("n_apart"), F.lit(" not connected")))
+    )
     return windows.select(*WINDOW).join(counts, WINDOW, "left").select(*WINDOW, n.alias("n_attempts"), reason.alias("reason"))
 
 

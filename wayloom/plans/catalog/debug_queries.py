@@ -13,7 +13,7 @@ from wayloom.plans.registry import query
 
 def attempts(i, top=None):
     m = i.matched()
-    return diagnose.path_attempts(m.candidates, m.windows, m.paths, i.transitions(), top)
+    return diagnose.path_attempts(m.candidates, m.windows, m.paths, i.segments(), i.transitions(), top)
 
 
 def steps(i):
@@ -29,8 +29,9 @@ def path_attempts(i):
 @query(
     "attempt_pairs",
     with_ctes(
-        f"""SELECT a.trip_id, a.point_idx AS window_idx, a.segment_id AS from_seg, b.segment_id AS to_seg, x.way_id AS from_way, y.way_id AS to_way, round({hav("p.lat", "p.lon", "q.lat", "q.lon")},3) AS distance_m
-FROM cand a JOIN cand b ON b.trip_id=a.trip_id AND b.point_idx=a.point_idx+1 JOIN trip_points p ON p.trip_id=a.trip_id AND p.point_idx=a.point_idx JOIN trip_points q ON q.trip_id=b.trip_id AND q.point_idx=b.point_idx
+        f"""SELECT a.trip_id, a.point_idx AS window_idx, a.segment_id AS from_seg, b.segment_id AS to_seg, x.way_id AS from_way, y.way_id AS to_way,
+ round({hav("(x.ys[1]+x.ys[x.n_nodes])/2", "(x.xs[1]+x.xs[x.n_nodes])/2", "(y.ys[1]+y.ys[y.n_nodes])/2", "(y.xs[1]+y.xs[y.n_nodes])/2")},3) AS distance_m
+FROM cand a JOIN cand b ON b.trip_id=a.trip_id AND b.point_idx=a.point_idx+1 AND b.segment_id<>a.segment_id
 JOIN seg x ON x.segment_id=a.segment_id JOIN seg y ON y.segment_id=b.segment_id""",
         TRIP_NEAR,
     ),
@@ -38,7 +39,7 @@ JOIN seg x ON x.segment_id=a.segment_id JOIN seg y ON y.segment_id=b.segment_id"
 def attempt_pairs(i):
     """All first × last candidate pairs of each window, before any search."""
     wins = matching.windows(i.trip_points())
-    return diagnose.candidate_pairs(i.candidates(), wins).select(
+    return diagnose.candidate_pairs(i.candidates(), wins, i.segments()).select(
         "trip_id", "window_idx", "from_seg", "to_seg", "from_way", "to_way", F.round("distance_m", 3).alias("distance_m")
     )
 
