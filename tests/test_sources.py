@@ -96,3 +96,26 @@ def test_live_trips_over_batches_equal_batch_trips(spark, tmp_path):
     last = {r.user_id: r.s for r in cut.groupBy("user_id").agg(F.max("trip_start_t").alias("s")).collect()}
     want = {x for x in all_trips if x[1] != last[x[0]]}
     assert {(r.user_id, r.start_t, r.end_t, r.n_points) for r in live.closed().collect()} == want
+
+
+def test_points_sent_late_or_again_are_kept_once(spark, tmp_path):
+    """Three files: points, the same ones hours late with new ones between, and all of them again."""
+    src = tmp_path / "src"
+    schema = "event_id long, user_id long, t long, lat double"
+    day = 86_400
+    first = [(k, k % 3, 5 * day + 60 * k, 1.0) for k in range(40)]
+    late = [(100 + k, k % 3, 60 * k + k % 2, 2.0) for k in range(40)] + [(500, 1, 5 * day + 60, 9.0)]
+    for n, rows in enumerate([first, late, first + late + [(7, 2, 11, 3.0), (6, 2, 11, 4.0)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
+        time.sleep(1.1)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src))
+    stored = jobs.StoredPoints(spark, str(tmp_path / "stored"))
+    stored.run(stream).awaitTermination()
+    got = sorted((r.user_id, r.t, r.event_id) for r in stored.points().collect())
+    want = {}
+    for e, u, t, _ in [*first, *late, (6, 2, 11, 4.0)]:
+        want.setdefault((u, t), e)
+    assert got == sorted((u, t, e) for (u, t), e in want.items())
+    # A batch that runs again replaces its own rows only.
+    stored.step(spark.createDataFrame(late, schema), 1)
+    assert sorted((r.user_id, r.t, r.event_id) for r in stored.points().collect()) == got

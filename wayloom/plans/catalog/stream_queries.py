@@ -38,7 +38,9 @@ def stream_sessions(i):
 def stream_dedup(i):
     """Every other event is sent twice; each counts once."""
     resent = stream(i).withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("event_id") % 2).cast("int"))))
-    return jobs.run_to_table(jobs.deduplicated(resent).select("user_id", "t"), "stream-dedup")
+    kept = jobs.StoredPoints(i.spark, scratch_path(i.spark, "stream-dedup"))
+    kept.run(resent.select("user_id", "t", "event_id")).awaitTermination()
+    return kept.points().select("user_id", "t")
 
 
 @query("stream_user_state", with_ctes("SELECT user_id, count(*) AS n_points, max(t) AS last_t FROM ev GROUP BY 1"))
