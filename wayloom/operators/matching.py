@@ -472,8 +472,3 @@ def route_bbox(lines: DataFrame, key: str = "trip_id", margin_deg: float = 0.001
         (F.min("b.min_x") - m).alias("min_lon"), (F.min("b.min_y") - m).alias("min_lat"),
         (F.max("b.max_x") + m).alias("max_lon"), (F.max("b.max_y") + m).alias("max_lat"),
     )
-
-
-def constraint_term(matched: Column, missed: Column, cfg: MatchConfig = MATCH) -> Column:
-    """Score term of a path's constraints by how many it holds and misses."""
-    return matched * cfg.constraint_bonus + missed * cfg.constraint_penalty

@@ -151,11 +151,6 @@ def extra_connections(seg_nodes: DataFrame, base: DataFrame) -> DataFrame:
     return added.select(F.explode(both).alias("c")).select("c.src", "c.dst")
 
 
-def all_connections(seg_nodes: DataFrame) -> DataFrame:
-    base = connections(seg_nodes)
-    return base.unionByName(extra_connections(seg_nodes, base))
-
-
 def connection_lists(conns: DataFrame) -> DataFrame:
     return conns.groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("connections"))
 

@@ -341,3 +341,12 @@ def cross_tile_edges(i):
     """Edges between tiles that no tile holds."""
     placed = i._stored("tiles", lambda: tiles.assign_tiles(i.segments(), TILE))
     return tiles.cross_tile_edges(i.segments(), i.connections(), i.edges(), placed).select("src", "dst", F.round("cost", 6).alias("cost"))
+
+
+@query("merged_tiles", with_ctes("SELECT highway, count(*) AS n_segments FROM seg GROUP BY 1"))
+def merged_tiles(i):
+    """Segments read from several tiles, some of them twice, as one network."""
+    segs = i.segments()
+    return tiles.merge_tile_rows(segs.unionByName(segs.filter("segment_id % 3 = 0")), ["segment_id"]).groupBy("highway").agg(
+        F.count(F.lit(1)).alias("n_segments")
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayloom.functions import labels
+from wayloom.functions import labels, parse
 from wayloom.operators import dedup, serve, trips
 from wayloom.plans.oracle import with_ctes
 from wayloom.plans.registry import query
@@ -370,3 +370,41 @@ def estimated_movement(i):
         F.round(labels.estimated_distance(kind, minutes), 6).alias("distance_m"),
         labels.confidence_level(level).alias("level"),
     )
+
+
+@query(
+    "date_time_labels",
+    with_ctes("SELECT event_id, strftime(make_timestamp(t*1000000),'%-m/%-d/%Y, %-I:%M:%S %p') AS text FROM pings"),
+)
+def date_time_labels(i):
+    """F32: date and time of each point as shown."""
+    return i.pings().select("event_id", labels.date_time_label(F.timestamp_seconds("t")).alias("text"))
+
+
+@query(
+    "motion_types",
+    with_ctes(
+        """SELECT event_id, CASE WHEN event_id%2=1 THEN 'still' WHEN (event_id//2)%2=1 THEN 'walking' WHEN (event_id//4)%2=1 THEN 'running'
+ WHEN (event_id//8)%2=1 THEN 'in_vehicle' WHEN (event_id//16)%2=1 THEN 'on_bicycle' ELSE 'unknown' END AS kind FROM pings"""
+    ),
+)
+def motion_types(i):
+    """type of motion samples, whose flags are the low bits of the event."""
+    names = ["stationary", "walking", "running", "automotive", "cycling"]
+    flags = F.struct(*[F.expr(f"(event_id div {2**k})%2=1").alias(n) for k, n in enumerate(names)])
+    return i.pings().select("event_id", labels.motion_type(flags).alias("kind"))
+
+
+@query(
+    "stored_way_lists",
+    """SELECT l_orderkey AS route_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey)-1 AS pos, l_partkey AS way_id
+FROM lineitem""",
+)
+def stored_way_lists(i):
+    """way lists, written as text with each route, read back as rows."""
+    ordered = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey")))
+    stored = i.table("lineitem").groupBy(F.col("l_orderkey").alias("route_id")).agg(
+        F.to_json(F.transform(ordered, lambda x: x.l_partkey)).alias("way_ids")
+    )
+    rows = stored.select("route_id", F.posexplode(parse.way_ids_from_json(F.col("way_ids"))).alias("pos", "way_id"))
+    return rows.withColumn("pos", F.col("pos").cast("long"))

@@ -66,3 +66,10 @@ def stream_live_trips(i):
     live = jobs.LiveTrips(i.spark, scratch_path(i.spark, "live-trips"))
     live.run(points).awaitTermination()
     return live.closed().select("user_id", "start_t", "end_t", "n_points", F.round("distance_m", 3).alias("distance_m"))
+
+
+@query("stream_one_user", with_ctes("SELECT user_id, count(*) AS n_points, max(t) AS last_t FROM ev WHERE user_id=(SELECT min(user_id) FROM ev) GROUP BY 1"))
+def stream_one_user(i):
+    """The same running totals, on demand for the first user."""
+    user = i.events().agg(F.min("user_id")).first()[0]
+    return jobs.run_snapshot(jobs.user_totals(jobs.for_user(stream(i), user)), "stream-one-user")

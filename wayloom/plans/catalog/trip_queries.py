@@ -102,9 +102,6 @@ def trip_bbox_ring(i):
     )
 
 
-STORED_TRIPS = "SELECT DISTINCT user_id, batch_t AS start_t, batch_t AS end_t FROM batches"
-
-
 @query(
     "trip_dedup",
     with_ctes(
