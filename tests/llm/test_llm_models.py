@@ -125,6 +125,8 @@ def test_main_text():
     assert html.main_text(PAGE) == want
     assert html.main_text(None) == html.main_text("") == html.main_text("<nav><a href=1>x</a></nav>") == ""
     assert html.main_text("<article><p>whole text</p><p>cut he &amp <a hre") == "whole text\ncut he &"
+    wrapped = '<form action="x"><div id="site-header">Site</div><main><div class="article-header"><h1>A title</h1></div><p>Body.</p></main></form>'
+    assert html.main_text(wrapped) == "A title\nBody."
     deep = "<div>" * 3000 + "<p>" + "word " * 50_000
     assert html.main_text(deep) == ("word " * 50_000).strip()
 

@@ -53,7 +53,7 @@ _BOILER = frozenset(
 )
 #: And those that speak for content.
 _CONTENT = frozenset("article content main post story entry body text page".split())
-_AWAY = frozenset("nav aside form menu dialog button fieldset".split())
+_AWAY = frozenset("nav aside menu dialog button fieldset".split())
 _NEAR, _SIBLING = 1.0, 1.0
 
 
@@ -78,8 +78,11 @@ def _said(tag: str, attributes: str, above: _Open) -> tuple[float, bool, bool]:
     context, in_article = above.context, above.in_article
     skip = above.skip or tag in _SKIPPED
     if tag in ("article", "main"):
-        return max(context, 6.0) if context > -8 else context, True, skip
-    if tag in _AWAY:
+        # A form may be put around a whole page, so that an article within it is still one.
+        return max(context, 6.0) if context > -10 else context, True, skip
+    if tag == "form":
+        context = min(context, -9.0)
+    elif tag in _AWAY:
         context = min(context, -12.0)
     elif tag == "footer" or tag == "header" and not in_article:
         context = min(context, -12.0)
@@ -92,7 +95,7 @@ def _said(tag: str, attributes: str, above: _Open) -> tuple[float, bool, bool]:
                 context = min(context, -12.0)
             elif name in ("class", "id"):
                 said = set(_WORD.findall(_CAMEL.sub(" ", value).lower()))
-                if said & _BOILER:
+                if said & _BOILER and not (said & _BOILER == {"header"} and said & _CONTENT):
                     context = min(context, -12.0)
                 elif said & _CONTENT and context > -8:
                     context = max(context, 3.0)
