@@ -17,7 +17,9 @@ the whole shingle sets.
 
 That is enough for all groups but those where a pair failed: there any two documents may still be
 similar. The documents of these groups that aren't in one component yet are compared in blocks by the same
-two bounds, and what remains is verified. Verified pairs are joined into components.
+two bounds. Of each document and group the nearest few partners are verified first; most groups become one
+component by that. Groups that had more partners are taken again with sixteen times as many, until none has more:
+every pair within the bounds is verified or lies within a component. Verified pairs are joined into components.
 
 Results in special cases: null texts and texts without words have the empty set, link with nothing and are
 their own component; fewer than five words are one shingle; rows with a null id link with nothing
@@ -48,6 +50,7 @@ SEEDS = 64
 _CODE = np.uint64(4095)  # bands up to 64, so sets of up to 10 ** 11 shingles
 BLOCK = 512  # documents of a block in the comparison of failed groups
 CALL_ROWS = 10_000  # of small groups that are compared in one call
+FIRST_PARTNERS = 4  # nearest partners taken in the first round
 BATCH_BYTES = 8 << 20  # of text whose keys are packed at a time
 
 
@@ -218,7 +221,7 @@ def _candidates(rows: DataFrame, buckets: int) -> DataFrame:
 
 
 def _sketch_table(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows v, code, size, parts: the fine sketches of some documents, a byte of each part's XOR."""
+    """Rows v, code, size, parts: the fine sketches of some documents, four bits of each part's XOR."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -226,8 +229,8 @@ def _sketch_table(rows: DataFrame, ids: DataFrame) -> DataFrame:
             for lo, hi in words.slices(texts):
                 sets = shingle_sets(texts.slice(lo, hi - lo))
                 for s in sketches(sets, fine=True):
-                    low = s.xor.astype(np.uint8)
-                    packed = [low[s.begin[k] : s.begin[k + 1]].tobytes() for k in range(len(s.owner))]
+                    low = s.xor.astype(np.uint8) & np.uint8(15)
+                    packed = [_two_a_byte(low[s.begin[k] : s.begin[k + 1]]).tobytes() for k in range(len(s.owner))]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(ids[lo:hi][s.owner]), pa.array(s.code), pa.array(sets.size[s.owner]), pa.array(packed, pa.binary())],
                         names=["v", "code", "size", "parts"],
@@ -237,6 +240,20 @@ def _sketch_table(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return only(rows, "id", ids).mapInArrow(run, "v long, code long, size long, parts binary").distinct()
 
 
+def _two_a_byte(low: np.ndarray) -> np.ndarray:
+    low = np.append(low, np.zeros(len(low) % 2, np.uint8))
+    return low[::2] << 4 | low[1::2]
+
+
+#: By the XOR of two packed bytes: how many of their two parts differ.
+_DIFFER = np.array([(x > 15) + (x & 15 > 0) for x in range(256)], np.uint8)
+
+
+def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of parts in which packed sketches differ."""
+    return _DIFFER[a ^ b].sum(axis=-1, dtype=np.int64)
+
+
 def _near(size_a, size_b, differ):
     """What the bounds leave: sizes within 0.8 and no more differing parts than the symmetric difference may have."""
     return (100 * np.minimum(size_a, size_b) >= 80 * np.maximum(size_a, size_b)) & (9 * differ <= size_a + size_b)
@@ -251,7 +268,7 @@ def _plausible(pairs: DataFrame, table: DataFrame) -> DataFrame:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             differ = [
-                np.count_nonzero(np.frombuffer(x.as_buffer(), np.uint8) != np.frombuffer(y.as_buffer(), np.uint8))
+                int(_differing(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)))
                 for x, y in zip(column(b, "parts_a"), column(b, "parts_b"), strict=True)
             ]
             near = _near(column(b, "size_a").to_numpy(), column(b, "size_b").to_numpy(), np.array(differ, np.int64))
@@ -302,11 +319,16 @@ def _verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return checked.groupBy("a", "b").agg(F.max("ok").alias("ok"))
 
 
-def _rest(pairs: DataFrame, failed: DataFrame, groups: DataFrame, table: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of the groups in which a pair failed. ``pairs``: all (a, b, key)."""
+def _members(pairs: DataFrame, failed: DataFrame) -> DataFrame:
+    """Rows key, v: the documents of the groups in which a pair failed. ``pairs``: all (a, b, key)."""
     keys = pairs.join(failed, ["a", "b"], "left_semi").select("key").distinct()
     own = pairs.join(keys, "key", "left_semi")
-    members = own.select("key", F.col("a").alias("v")).unionByName(own.select("key", F.col("b").alias("v"))).distinct()
+    return own.select("key", F.col("a").alias("v")).unionByName(own.select("key", F.col("b").alias("v"))).distinct()
+
+
+def _rest(members: DataFrame, groups: DataFrame, table: DataFrame, most: int) -> DataFrame:
+    """Rows a, b: candidate pairs of documents in different components that share a key, of each document and
+    group the ``most`` with the fewest differing parts; and rows null, key for groups that have more."""
     members = members.join(groups, "v", "left").withColumn("component", F.coalesce("component", "v"))
     members = materialize(members, "members")
     # Groups of two have been compared, and those whose documents are all in one component are done. Keys with
@@ -315,21 +337,25 @@ def _rest(pairs: DataFrame, failed: DataFrame, groups: DataFrame, table: DataFra
         members.groupBy("key")
         .agg(
             F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n"),
-            F.bit_xor(F.xxhash64("v")).alias("x"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("y"),
+            F.min("v").alias("head"), F.bit_xor(F.xxhash64("v")).alias("x"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("y"),
         )
         .filter("c0 < c1 and n > 2")
-        .groupBy(F.col("key").bitwiseAND(F.lit(int(_CODE))).alias("code"), "n", "x", "y").agg(F.min("key").alias("key"))
-        .select("key", "code", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        .groupBy(F.col("key").bitwiseAND(F.lit(int(_CODE))).alias("code"), "n", "x", "y")
+        .agg(F.min("key").alias("key"), F.min("head").alias("head"))
+        .select("key", "code", "n", "head", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     )
     several = materialize(several, "groups")
-    total = several.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
-    dealt = members.join(several.drop("n"), "key").join(table, ["v", "code"])
+    # Groups with one head are compared in one call, as far as they aren't too many: their pairs are often the same.
+    heads = several.groupBy("head").agg(F.sum(F.col("n") * F.col("blocks")).alias("rows"))
+    total = heads.agg(F.sum("rows")).first()[0] or 0
+    several = several.drop("n").join(heads, "head")
+    dealt = members.join(several, "key").join(table, ["v", "code"])
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("v"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = dealt.select("key", "v", "size", "parts", "component", "own", other)
+    dealt = dealt.select("key", "v", "size", "parts", "component", "head", "rows", "own", other)
     dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
-    # Many small groups are compared in one call.
-    bucket = F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, -(-total // CALL_ROWS))))
+    salt = F.pmod(F.xxhash64("key", "i", "j"), F.ceil(F.col("rows") / CALL_ROWS))
+    bucket = F.pmod(F.xxhash64("head", salt), F.lit(max(1, -(-total // CALL_ROWS))))
 
     def compare(t: pa.Table) -> pa.Table:
         names = ("key", "i", "j", "v", "size", "component", "own")
@@ -337,28 +363,33 @@ def _rest(pairs: DataFrame, failed: DataFrame, groups: DataFrame, table: DataFra
         parts = t.column("parts").to_pylist()
         order = np.lexsort((j, i, key))
         begin = np.flatnonzero(np.append(True, np.any([np.diff(x[order]) != 0 for x in (key, i, j)], axis=0)))
-        out = [np.zeros((2, 0), np.int64)]
+        out, more = [np.zeros((2, 0), np.int64)], set()
         for rows_ in np.split(order, begin[1:]):
-            if i[rows_[0]] == j[rows_[0]]:
-                left = right = rows_
-            else:
-                left, right = rows_[own[rows_] == i[rows_[0]]], rows_[own[rows_] == j[rows_[0]]]
+            one_block = i[rows_[0]] == j[rows_[0]]
+            left = rows_ if one_block else rows_[own[rows_] == i[rows_[0]]]
+            right = rows_ if one_block else rows_[own[rows_] == j[rows_[0]]]
             if not len(left) or not len(right):
                 continue
             there = np.frombuffer(b"".join([parts[k] for k in right]), np.uint8).reshape(len(right), -1)
             n, g = size[right], group[right]
             for at, k in enumerate(left):
-                rest = slice(at + 1 if left is right else 0, None)
+                rest = slice(at + 1 if one_block else 0, None)
                 some = np.flatnonzero((g[rest] != group[k]) & _near(n[rest], size[k], 0))
-                if len(some):
-                    differ = np.count_nonzero(there[rest][some] != np.frombuffer(parts[k], np.uint8), axis=1)
-                    m = right[rest][some][_near(n[rest][some], size[k], differ)]
-                    out.append(np.stack([np.maximum(ids[m], ids[k]), np.minimum(ids[m], ids[k])]))
+                if not len(some):
+                    continue
+                differ = _differing(there[rest][some], np.frombuffer(parts[k], np.uint8))
+                near = np.flatnonzero(_near(n[rest][some], size[k], differ))
+                if len(near) > most:
+                    more.add(int(key[k]))
+                    near = near[np.argsort(differ[near], kind="stable")[:most]]
+                m = right[rest][some[near]]
+                out.append(np.stack([np.maximum(ids[m], ids[k]), np.minimum(ids[m], ids[k])]))
         a, b = np.unique(np.concatenate(out, 1), axis=1)
-        return pa.table({"a": a, "b": b})
+        left_over = np.array(sorted(more), np.int64)
+        missing = np.append(np.zeros(len(a), bool), np.ones(len(left_over), bool))
+        return pa.table({"a": pa.array(np.append(a, left_over), mask=missing), "b": np.append(b, left_over)})
 
-    found = dealt.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(compare, "a long, b long").distinct()
-    return found.join(failed, ["a", "b"], "left_anti")
+    return dealt.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(compare, "a long, b long").distinct()
 
 
 def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -376,10 +407,21 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     good = checked.filter("ok").select("a", "b")
     failed = materialize(coded.select("a", "b").distinct().join(good, ["a", "b"], "left_anti"), "failed")
     groups = materialize(components(good), "components")
-    rest = materialize(_rest(pairs, failed, groups, table), "rest")
-    more = materialize(_verified(named, rest).filter("ok").select("a", "b"), "verified-rest")
-    if more.limit(1).count():
-        groups = materialize(components(good.unionByName(more)), "components")
+    members = materialize(_members(pairs, failed), "failed-groups")
+    tested, most = failed, FIRST_PARTNERS
+    while True:
+        rest = materialize(_rest(members, groups, table, most), "rest")
+        new = materialize(rest.filter("a is not null").join(tested, ["a", "b"], "left_anti"), "new")
+        checked = materialize(_verified(named, new), "verified-rest")
+        more = checked.filter("ok").select("a", "b")
+        if more.limit(1).count():
+            good = good.unionByName(more)
+            groups = materialize(components(good), "components")
+        open_keys = rest.filter("a is null").select(F.col("b").alias("key"))
+        if not open_keys.limit(1).count():
+            break
+        members = materialize(members.join(open_keys, "key", "left_semi"), "open-groups")
+        tested, most = tested.unionByName(new), most * 16
     sizes = found.filter("kind = 1").select(F.col("a").alias("v"), F.col("b").alias("n_shingles"))
     out = sizes.join(groups, "v", "left").select(
         F.col("v").alias(doc_id), "n_shingles", F.coalesce("component", "v").alias("component_id")
