@@ -85,6 +85,8 @@ def test_jaccard_links_that_the_smallest_document_does_not_show(spark, monkeypat
     if not broadcast:
         monkeypatch.setattr(components, "BROADCAST_IDS", 0)
     monkeypatch.setattr(jaccard, "BLOCK", 3)
+    monkeypatch.setattr(jaccard, "FIRST_PARTNERS", 1)
+    monkeypatch.setattr(jaccard, "CALL_ROWS", 20)
     rng = random.Random(9)
     base = [f"b{i}" for i in range(100)]
     rows = []
