@@ -230,7 +230,7 @@ def _sketch_table(rows: DataFrame, ids: DataFrame) -> DataFrame:
                 sets = shingle_sets(texts.slice(lo, hi - lo))
                 for s in sketches(sets, fine=True):
                     low = s.xor.astype(np.uint8) & np.uint8(15)
-                    packed = [_two_a_byte(low[s.begin[k] : s.begin[k + 1]]).tobytes() for k in range(len(s.owner))]
+                    packed = [_packed(low[s.begin[k] : s.begin[k + 1]]).tobytes() for k in range(len(s.owner))]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(ids[lo:hi][s.owner]), pa.array(s.code), pa.array(sets.size[s.owner]), pa.array(packed, pa.binary())],
                         names=["v", "code", "size", "parts"],
@@ -240,18 +240,18 @@ def _sketch_table(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return only(rows, "id", ids).mapInArrow(run, "v long, code long, size long, parts binary").distinct()
 
 
-def _two_a_byte(low: np.ndarray) -> np.ndarray:
-    low = np.append(low, np.zeros(len(low) % 2, np.uint8))
-    return low[::2] << 4 | low[1::2]
-
-
-#: By the XOR of two packed bytes: how many of their two parts differ.
-_DIFFER = np.array([(x > 15) + (x & 15 > 0) for x in range(256)], np.uint8)
+def _packed(low: np.ndarray) -> np.ndarray:
+    """Four-bit parts, sixteen to a word."""
+    low = np.append(low, np.zeros(-len(low) % 16, np.uint8))
+    return (low[::2] << 4 | low[1::2]).view(np.uint64)
 
 
 def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Number of parts in which packed sketches differ."""
-    return _DIFFER[a ^ b].sum(axis=-1, dtype=np.int64)
+    x = a ^ b
+    x |= x >> np.uint64(2)
+    x |= x >> np.uint64(1)
+    return np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=-1, dtype=np.int64)
 
 
 def _near(size_a, size_b, differ):
@@ -268,7 +268,7 @@ def _plausible(pairs: DataFrame, table: DataFrame) -> DataFrame:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             differ = [
-                int(_differing(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)))
+                int(_differing(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)))
                 for x, y in zip(column(b, "parts_a"), column(b, "parts_b"), strict=True)
             ]
             near = _near(column(b, "size_a").to_numpy(), column(b, "size_b").to_numpy(), np.array(differ, np.int64))
@@ -370,14 +370,14 @@ def _rest(members: DataFrame, groups: DataFrame, table: DataFrame, most: int) ->
             right = rows_ if one_block else rows_[own[rows_] == j[rows_[0]]]
             if not len(left) or not len(right):
                 continue
-            there = np.frombuffer(b"".join([parts[k] for k in right]), np.uint8).reshape(len(right), -1)
+            there = np.frombuffer(b"".join([parts[k] for k in right]), np.uint64).reshape(len(right), -1)
             n, g = size[right], group[right]
             for at, k in enumerate(left):
                 rest = slice(at + 1 if one_block else 0, None)
                 some = np.flatnonzero((g[rest] != group[k]) & _near(n[rest], size[k], 0))
                 if not len(some):
                     continue
-                differ = _differing(there[rest][some], np.frombuffer(parts[k], np.uint8))
+                differ = _differing(there[rest][some], np.frombuffer(parts[k], np.uint64))
                 near = np.flatnonzero(_near(n[rest][some], size[k], differ))
                 if len(near) > most:
                     more.add(int(key[k]))
