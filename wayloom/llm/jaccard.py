@@ -51,7 +51,7 @@ _CODE = np.uint64(4095)  # bands up to 64, so sets of up to 10 ** 11 shingles
 BLOCK = 512  # documents of a block in the comparison of failed groups
 CALL_ROWS = 10_000  # of small groups that are compared in one call
 FIRST_PARTNERS = 4  # nearest partners taken in the first round
-BATCH_BYTES = 8 << 20  # of text whose keys are packed at a time
+BATCH_BYTES = 4 << 20  # of text whose keys are packed at a time
 
 
 class Sets(NamedTuple):

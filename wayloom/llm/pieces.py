@@ -43,7 +43,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 32_768
 CONTEXT = 16  # characters around a cut that a piece may reach; at least the longest piece
 BLOCK = 256  # chunks whose matrices are multiplied in one task
-MEMO = 200_000
+MEMO = 120_000
 BLANK = "▁"
 _MINUS = float("-inf")
 
