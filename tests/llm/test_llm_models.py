@@ -254,6 +254,20 @@ def test_shards_and_answers(spark, monkeypatch):
     assert got == {2}
 
 
+def test_full_shard_finds_every_planted_item(spark):
+    rng = random.Random(3)
+    # Most items share their words with others, which fill the leading vectors; the rest share none.
+    word = lambda i, k: f"shared{rng.randrange(700)}" if i % 10 < 7 else f"w{i}x{k}"
+    items = [(i, " ".join(word(i, k) for k in range(24))) for i in range(1000)]
+    docs = [(i, " ".join(f"own{rng.randrange(500)}" for _ in range(50)) + " " + t + " end of it") for i, t in items]
+    docs += [(1000 + i, " ".join(f"own{rng.randrange(500)}" for _ in range(90))) for i in range(200)]
+    found = decontaminate.find(
+        spark.createDataFrame(docs, "doc_id long, text string").repartition(8), spark.createDataFrame(items, "item_id long, text string")
+    )
+    assert decontaminate.SHARD >= 1000
+    assert {r.doc_id: r.item_id for r in found.filter("contaminated").collect()} == {i: i for i, _ in items}
+
+
 def test_subsequences_and_singular_values(spark):
     rng = np.random.default_rng(5)
     for _ in range(50):

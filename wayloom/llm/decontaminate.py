@@ -13,9 +13,11 @@ Words in more than ``MAX_SHARE`` of the documents (and ``MIN_COMMON`` at least)
 ``KEPT`` rarest words; the subsequence is over all words. Words are runs of letters and digits in lower
 case.
 
-What is broadcast has a proven bound: passages are worked in shards of ``SHARD``, each with at most
-``SHARD * WINDOW`` words and vectors of ``RANK`` numbers (66 MB); more shards mean more passes over the
-documents, not larger ones. Documents are never shuffled.
+A space holds at most ``RANK`` passages, so its rank is never below their number and each passage lies wholly
+in it (but for singular values below 1e-4). A passage that shares no word with the others is found like any other.
+
+Passages are worked in shards of ``SHARD``, cut into spaces of at most ``RANK * WINDOW`` words and vectors of
+``RANK`` numbers (17 MB). Words are counted in one pass for each shard. Documents are never shuffled.
 
 Results in special cases: null or empty texts and items match nothing; an empty benchmark leaves all
 documents clean; an item without an answer's words is judged by the subsequence alone; repeated
@@ -175,7 +177,7 @@ def randomised_svd(spark, rows: list, n_features: int, rank: int) -> tuple[np.nd
     for _ in range(ROUNDS):
         sums = frame.mapInArrow(turn(z), "k int, x binary").groupBy(F.expr("k % 64")).applyInPandas(add, "k int, x binary")
         y = np.zeros_like(z)
-        for r in sums.collect():  # at most SHARD * WINDOW rows of RANK numbers
+        for r in sums.collect():  # at most RANK * WINDOW rows of RANK numbers
             y[r["k"]] = np.frombuffer(bytes(r["x"]))
         z, r_ = np.linalg.qr(y)
     # y was (A'A) times the last basis, so r_'s singular values are about the squares of A's.
@@ -184,21 +186,32 @@ def randomised_svd(spark, rows: list, n_features: int, rank: int) -> tuple[np.nd
     return (z @ u)[:, keep], np.sqrt(s[keep])
 
 
-def _space(docs: DataFrame, text: str, passages: _Passages) -> _Space | None:
+def _spaces(docs: DataFrame, text: str, passages: _Passages) -> list[_Space]:
+    """Spaces of a shard, of ``RANK`` passages each."""
     if not passages.words:
-        return None
+        return []
     vocabulary = np.unique(np.concatenate(passages.words))
     counts, n = _document_counts(docs, text, vocabulary)
-    weight = np.log((n + 1) / (counts + 0.5))
-    rows = _sparse(passages.words, vocabulary, np.maximum(weight, 1e-3), counts <= max(MAX_SHARE * n, MIN_COMMON))
+    weight = np.maximum(np.log((n + 1) / (counts + 0.5)), 1e-3)
+    rows = _sparse(passages.words, vocabulary, weight, counts <= max(MAX_SHARE * n, MIN_COMMON))
+    out = []
+    for lo in range(0, len(rows), RANK):
+        some = slice(lo, lo + RANK)
+        part = _Passages(passages.item[some], passages.words[some], passages.answers[some])
+        out.append(_space(docs.sparkSession, vocabulary, weight, rows[some], part))
+    return out
+
+
+def _space(spark, vocabulary: np.ndarray, weight: np.ndarray, rows: list, passages: _Passages) -> _Space:
+    """The space of at most ``RANK`` passages. ``rows``: theirs, from ``_sparse``."""
     features = np.unique(np.concatenate([k for k, _, _ in rows]))
     length = np.array([x for _, _, x in rows])
     rows = [(np.searchsorted(features, k), v) for k, v, _ in rows]
-    vectors, _ = randomised_svd(docs.sparkSession, rows, len(features), RANK)
+    vectors, _ = randomised_svd(spark, rows, len(features), RANK)
     latent = np.array([v @ vectors[k] for k, v in rows])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
     return _Space(
-        vocabulary[features], np.maximum(weight[features], 1e-3), vectors.astype(np.float32),
+        vocabulary[features], weight[features], vectors.astype(np.float32),
         latent.astype(np.float32), length.astype(np.float32), min(MIN_HITS, min(len(k) for k, _ in rows)), passages,
     )
 
@@ -283,13 +296,12 @@ def find(
         ids.append(r["id"])
         size = max(1, len(r["text"]) // (2 * WINDOW))
         if shard and n_passages + size > SHARD:
-            spaces.append(_space(docs, text, _read(shard, answer is not None)))
+            spaces += _spaces(docs, text, _read(shard, answer is not None))
             shard, n_passages = [], 0
         shard.append(row)
         n_passages += size
     if shard:
-        spaces.append(_space(docs, text, _read(shard, answer is not None)))
-    spaces = [s for s in spaces if s is not None]
+        spaces += _spaces(docs, text, _read(shard, answer is not None))
     held = [docs.sparkSession.sparkContext.broadcast(s) for s in spaces]
     kind = benchmark.schema[item_id].dataType.simpleString()
 
