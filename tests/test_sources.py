@@ -5,10 +5,13 @@ import time
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from wayloom.functions import labels, parse
 from wayloom.sources import device, osm, sinks
 from wayloom.streaming import jobs
 
+QUERIES = entry.queries()
+
 
 def values(spark, rows, schema, col):
     return [r[0] for r in spark.createDataFrame(rows, schema).select(col).collect()]
@@ -98,6 +101,31 @@ def test_live_trips_over_batches_equal_batch_trips(spark, tmp_path):
     assert {(r.user_id, r.start_t, r.end_t, r.n_points) for r in live.closed().collect()} == want
 
 
+def test_streams_read_a_folder_of_part_files_in_any_order(spark, tmp_path):
+    """120 files, so two micro-batches, each file with points of all times."""
+    rows = [(k, k % 5, 86_400 + 400 * k + 3000 * (k // 40)) for k in range(600)]
+    table = spark.createDataFrame(rows, "event_id long, user_id long, t long").withColumn("ts", F.timestamp_seconds("t").cast("timestamp_ntz"))
+    table.drop("t").repartition(120, "event_id").write.option("maxRecordsPerFile", 4).parquet(str(tmp_path / "events.parquet"))
+    assert len(list((tmp_path / "events.parquet").glob("part-*"))) > 100
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    assert sorted((r.user_id, r.t) for r in run("stream_dedup")) == sorted((u, t) for _, u, t in rows)
+    last = {u: t for _, u, t in rows}
+    assert sorted(tuple(r) for r in run("stream_user_state")) == [(u, 120, last[u]) for u in range(5)]
+    assert [tuple(r) for r in run("stream_one_user")] == [(0, 120, last[0])]
+    assert run("stream_live_trips") is not None
+    # For sessions of several points, a third of the time between them.
+    close = spark.createDataFrame([(e, u, 86_400 + (t - 86_400) // 3) for e, u, t in rows], "event_id long, user_id long, t long")
+    close = close.withColumn("ts", F.timestamp_seconds("t").cast("timestamp_ntz")).drop("t")
+    close.repartition(120, "event_id").write.option("maxRecordsPerFile", 4).mode("overwrite").parquet(str(tmp_path / "b" / "events.parquet"))
+    want, newest = [], 86_400 + (max(t for _, _, t in rows) - 86_400) // 3
+    for user in range(5):
+        ts = sorted(86_400 + (t - 86_400) // 3 for _, u, t in rows if u == user)
+        cut = [0] + [k for k in range(1, len(ts)) if ts[k] - ts[k - 1] > 900] + [len(ts)]
+        want += [(user, b - a, ts[a], ts[b - 1]) for a, b in zip(cut, cut[1:]) if ts[b - 1] + 900 <= newest - 600]
+    got = QUERIES["stream_sessions"](spark, str(tmp_path / "b")).select("user_id", "n_points", "start_t", "end_t").collect()
+    assert sorted(tuple(r) for r in got) == sorted(want) and len(want) > 20
+
+
 def test_points_sent_late_or_again_are_kept_once(spark, tmp_path):
     """Three files: points, the same ones hours late with new ones between, and all of them again."""
     src = tmp_path / "src"

@@ -11,12 +11,12 @@ from wayloom.streaming import jobs
 
 
 def stream(i):
-    """Events as a stream of points on whole seconds."""
+    """Events as a stream of points on whole seconds. The pattern fits the table as one file and as a folder of
+    part files; a plain path fits a stream only as a folder."""
     raw = (
         i.spark.readStream.schema(i.table("events").schema)
-        .option("pathGlobFilter", "events.parquet")
         .option("maxFilesPerTrigger", 100)
-        .parquet(i.sf_dir)
+        .parquet(f"{i.sf_dir.rstrip('/')}/events.parque[t]")
     )
     return raw.withColumn("t", F.unix_timestamp("ts")).withColumn("ts", F.timestamp_seconds("t"))
 
@@ -30,8 +30,10 @@ GROUP BY user_id, s HAVING max(t)+900<=(SELECT max(t)-600 FROM pings)"""
     ),
 )
 def stream_sessions(i):
-    """Session windows; sessions the watermark has passed."""
-    return jobs.run_to_table(jobs.sessions(stream(i)), "stream-sessions")
+    """Sessions that ended the gap and the lateness before the newest point, however late points come."""
+    kept = jobs.StoredSessions(i.spark, scratch_path(i.spark, "stream-sessions"))
+    kept.run(stream(i).select("user_id", "t")).awaitTermination()
+    return kept.closed()
 
 
 @query("stream_dedup", with_ctes("SELECT DISTINCT user_id, t FROM ev"))

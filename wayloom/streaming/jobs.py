@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from wayloom.config import TRIPS, TripConfig
 from wayloom.operators import trips
+from wayloom.operators.sequence import assign_sessions
 from wayloom.session import scratch_path
 
 
@@ -17,7 +18,8 @@ def sessions(points: DataFrame, gap_seconds: int = 900, lateness: str = "10 minu
     """Trips as session windows per user. ``points`` has user_id and ts on whole seconds.
 
     Points exactly a gap apart stay together, as in the batch rule. A session is emitted when
-    the watermark passes its end; the newest ones stay open.
+    the watermark passes its end; the newest ones stay open. Rows later than that are dropped by the
+    engine; ``StoredSessions`` keeps them.
     """
     return (
         points.withWatermark("ts", lateness)
@@ -112,6 +114,41 @@ class StoredPoints:
         return self.spark.read.parquet(f"{self.path}/points").drop("batch", "event_date")
 
 
+class StoredSessions:
+    """Session windows over micro-batches, with every point however late it comes.
+
+    A batch adds its points to the stored ones, counted by user and second, and sessions are cut from all that
+    is stored, so a late point lengthens or joins the sessions it touches. A batch writes under its id, so a
+    retried batch gives the same table.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, cfg: TripConfig = TRIPS):
+        self.spark, self.path, self.cfg = spark, path, cfg
+
+    def step(self, rows: DataFrame, batch_id: int) -> None:
+        counted = rows.filter("t is not null").groupBy("user_id", "t").agg(F.count(F.lit(1)).alias("n"))
+        counted.write.mode("overwrite").parquet(f"{self.path}/points/batch={batch_id}")
+
+    def run(self, stream: DataFrame, every: str | None = None) -> StreamingQuery:
+        return start_batches(stream, self.step, f"{self.path}/offsets", every)
+
+    def closed(self, gap_seconds: int = 900, lateness_seconds: int = 600) -> DataFrame:
+        """Sessions whose end and gap lie ``lateness_seconds`` or more before the newest point. Points
+        exactly a gap apart stay together, as in the batch rule."""
+        points = self.spark.read.parquet(f"{self.path}/points").groupBy("user_id", "t").agg(F.sum("n").alias("n"))
+        newest = points.agg(F.max("t").alias("newest"))
+        # Points without a user are one user's, as in a grouping.
+        user = F.coalesce(F.concat(F.lit("="), F.col("user_id").cast("string")), F.lit("-"))
+        cut = assign_sessions(
+            points.withColumn("u", user), "u", "t", ["t"], ["t"], lambda p, c: c.t - p.t > gap_seconds, self.cfg.slice_seconds
+        )
+        found = cut.groupBy("user_id", "session_start").agg(
+            F.sum("n").alias("n_points"), F.min("t").alias("start_t"), F.max("t").alias("end_t")
+        )
+        over = found.join(F.broadcast(newest), F.col("end_t") + gap_seconds <= F.col("newest") - lateness_seconds)
+        return over.select("user_id", "n_points", "start_t", "end_t")
+
+
 class LiveTrips:
     """Trips over micro-batches with the visit rule and distances.
 
