@@ -39,9 +39,10 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the boilerplate lines of their source; n_chars follows the text."""
+    """All documents, without the boilerplate lines of their source; n_chars follows the text. Copies of a text count
+    once, so that the next stage finds one of them with its text."""
     read = {"text", "source"}
-    cleaned = _back(lines.drop_boilerplate(_aside(docs, read)), docs, read)
+    cleaned = _back(lines.drop_boilerplate(_aside(docs, read), copies_once=True), docs, read)
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

@@ -53,6 +53,17 @@ def test_lines(stages):
     assert got == {d: (w[2], len(w[2])) for d, w in want.items()}
 
 
+def test_copies_of_a_third_of_a_source_leave_one_text(spark):
+    body = "\n".join(f"line {k} of the text that was copied" for k in range(8))
+    table = [(i, body if i % 3 == 0 else f"menu\nnothing but number {i} is told here", "s" if i < 60 else None) for i in range(120)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, source string").selectExpr("*", "'en' AS lang", "0L AS n_chars")
+    cleaned = corpus_pipeline.without_boilerplate(spark, docs, SF)
+    assert {t for d, t in rows(cleaned) if d % 3 == 0} == {body}
+    assert {t for d, t in rows(cleaned) if d % 3} == {f"nothing but number {i} is told here" for i in range(120) if i % 3}
+    kept = rows(corpus_pipeline.without_near_duplicates(spark, cleaned, SF))
+    assert [t for d, t in kept if d % 3 == 0] == [body] and all(t for _, t in kept)
+
+
 def test_one_of_each_group_stays(stages):
     of = brute.jaccard(rows(stages["line_dedup"]))
     assert {d for d, _ in rows(stages["jaccard_join"])} == {d for d, (_, c) in of.items() if d == c}

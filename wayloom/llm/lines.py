@@ -6,8 +6,9 @@ are boilerplate and go from all pages of that site. Blank lines are never boiler
 
 Results in special cases: a null text stays null with 0 lines; an empty text has one blank line;
 a null host is a site of its own; a line that repeats within a page counts once for it but is
-dropped at each place; rows that repeat count as pages of their own; a page may end up empty; an
-empty table gives an empty table. Columns named like an output column are replaced.
+dropped at each place; rows that repeat count as pages of their own, or with ``copies_once`` all rows of a
+site with the same text as one page (null texts, too), so that copies don't make their own lines boilerplate; a
+page may end up empty; an empty table gives an empty table. Columns named like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -35,18 +36,26 @@ def _keys(text: str):
 
 
 def boilerplate(
-    docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES
+    docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES,
+    copies_once: bool = False,
 ) -> DataFrame:
     """Rows ``site, key, pages, site_pages`` of all boilerplate lines.
 
     One shuffle of (site, key) pairs, counted on the map side first, so neither a hot site nor a hot
-    line gathers in a task. A site has less than (mean lines of a page) / ratio such lines.
+    line gathers in a task. A site has less than (mean lines of a page) / ratio such lines. With
+    ``copies_once`` a shuffle of (site, key, hash of the text) goes before, on which rows that repeat are merged.
     """
     pages = docs.select(_site(host).alias("site"), F.col(text).alias("text"))
-    total = pages.groupBy("site").agg(F.count(F.lit(1)).alias("site_pages"))
+    of_page = ["site"]
+    if copies_once:
+        pages, of_page = pages.withColumn("page", F.unhex(F.md5("text"))), ["site", "page"]
+    total = pages.select(of_page)
+    held = pages.select(*of_page, F.explode(F.array_distinct(_keys("text"))).alias("key"))
+    if copies_once:
+        total, held = total.distinct(), held.distinct()
+    total = total.groupBy("site").agg(F.count(F.lit(1)).alias("site_pages"))
     counts = (
-        pages.select("site", F.explode(F.array_distinct(_keys("text"))).alias("key"))
-        .groupBy("site", "key")
+        held.groupBy("site", "key")
         .agg(F.count(F.lit(1)).alias("pages"))
         .filter(F.col("pages") >= min_pages)
     )
@@ -54,10 +63,11 @@ def boilerplate(
 
 
 def drop_boilerplate(
-    docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES
+    docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES,
+    copies_once: bool = False,
 ) -> DataFrame:
     """``docs`` with ``text`` cleaned, plus ``n_lines`` and ``n_dropped``."""
-    found = materialize(boilerplate(docs, host, text, ratio, min_pages).select("site", "key"), "boilerplate")
+    found = materialize(boilerplate(docs, host, text, ratio, min_pages, copies_once).select("site", "key"), "boilerplate")
     sites = found.groupBy(F.col("site").alias("__site")).agg(F.collect_set("key").alias("__bad"))
     rows = docs.withColumn("__site", _site(host))
     if found.count() <= BROADCAST_LINES:
