@@ -131,6 +131,35 @@ def test_main_text():
     assert html.main_text(deep) == ("word " * 50_000).strip()
 
 
+PROSE = "The river rose again after a week of rain, and the lower fields stood under water until the end of the month."
+BESIDE = "<nav><a href=/a>First link</a> <a href=/b>Second link</a></nav>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<html><head><title>T</title><meta charset=utf-8><body>{BESIDE}<article><p>{PROSE}</p></article></body></html>",
+    f"<head><title>T</title><link rel=x><article><p>{PROSE}</p></article>",
+    f"<head><title>T</title>{PROSE}",
+    f"<article><p><a href=\"/hidden-gems.html\">{PROSE}</a></p></article>",
+    f"<article><p title=\"the hidden cost\">{PROSE}</p></article>",
+    f"<article><div aria-hidden=\"false\"><p>{PROSE}</p></div></article>",
+    f"<article><div data-id=\"comments\" data-class='sidebar'><p>{PROSE}</p></div></article>",
+    f"<body><div class=\"has-sidebar\"><article><p>{PROSE}</p></article></div>",
+    f"<body><div class=\"page-with-sidebar\"><main><p>{PROSE}</p></main></div>",
+    f"<body><div class=\"layout with-nav\"><p>{PROSE}</p></div>",
+    f"<body><div id=wrap class=\"sidebar-left\">{BESIDE}<article><p>{PROSE}</p></article></div>",
+])
+def test_main_text_of_valid_forms(page):
+    assert html.main_text(page) == PROSE
+
+
+@pytest.mark.parametrize("around", [
+    "<div class=comments>", "<ol class=comment-list><li>", "<aside>", "<nav>", "<div class=sidebar>", "<div class=related-posts>",
+    "<div role=complementary>", "<div hidden>", "<div HIDDEN=''>", "<div style='display: none'>",
+])
+def test_articles_beside_the_text_stay_away(around):
+    assert html.main_text(f"<body><article><p>{PROSE}</p></article>{around}<article><p>Another text: {PROSE}</p></article>") == PROSE
+
+
 def test_pages_equal_their_articles(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r for r in html.query(pages).collect()}

@@ -32,12 +32,14 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>?|[^<]+|<",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"(class|id|role|style|hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>]+))?")
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark math q rp rt ruby s samp "
     "small span strike strong sub sup time tt u var wbr br svg path input".split()
 )
 _SKIPPED = frozenset("script style noscript template iframe object head title select textarea svg math canvas audio video".split())
+#: What may stand in a head; anything else ends it.
+_IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
 _RAW = frozenset("script style textarea title iframe".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _WORD = re.compile(r"[a-z]+")
@@ -53,6 +55,10 @@ _BOILER = frozenset(
 )
 #: And those that speak for content.
 _CONTENT = frozenset("article content main post story entry body text page".split())
+#: Boilerplate words that within a longer name often tell how a page is laid out (``sidebar-left``).
+_LAYOUT = frozenset("nav navbar navigation menu menus toc banner header masthead topbar footer foot sidebar aside side rail".split())
+#: Words after these tell what else stands in an element (``page-with-sidebar``), not what it is.
+_HOLDS = frozenset("has have with no without".split())
 _AWAY = frozenset("nav aside menu dialog button fieldset".split())
 _NEAR, _SIBLING = 1.0, 1.0
 
@@ -71,35 +77,44 @@ class _Open(NamedTuple):
     in_article: bool
     skip: bool
     parent: int = 0
+    closed: bool = False  # an article within is none of the page's
 
 
-def _said(tag: str, attributes: str, above: _Open) -> tuple[float, bool, bool]:
-    """Context, whether within an article, and whether the element's text is never shown."""
-    context, in_article = above.context, above.in_article
+def _said(tag: str, attributes: str, above: _Open) -> tuple[float, bool, bool, bool]:
+    """Context, whether within an article, whether the element's text is never shown, and whether articles
+    within it (comments, asides, link lists) are boilerplate."""
+    context, in_article, closed = above.context, above.in_article, above.closed
     skip = above.skip or tag in _SKIPPED
     if tag in ("article", "main"):
-        # A form may be put around a whole page, so that an article within it is still one.
-        return max(context, 6.0) if context > -10 else context, True, skip
+        # A form or a wrapper named after its sidebar may be put around a whole page, so that an article
+        # within it is still one.
+        return context if closed else max(context, 6.0), True, skip, closed
     if tag == "form":
         context = min(context, -9.0)
-    elif tag in _AWAY:
-        context = min(context, -12.0)
-    elif tag == "footer" or tag == "header" and not in_article:
-        context = min(context, -12.0)
+    elif tag in _AWAY or tag == "footer" or tag == "header" and not in_article:
+        context, closed = min(context, -12.0), True
     if attributes and tag not in ("html", "body"):
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
             if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value):
                 skip = True
             elif name == "role" and value in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog"):
-                context = min(context, -12.0)
+                context, closed = min(context, -12.0), True
             elif name in ("class", "id"):
-                said = set(_WORD.findall(_CAMEL.sub(" ", value).lower()))
+                names = [_own_words(x) for x in value.split()]
+                said = {w for x in names for w in x}
                 if said & _BOILER and not (said & _BOILER == {"header"} and said & _CONTENT):
                     context = min(context, -12.0)
+                    closed = closed or bool(said & _BOILER - _LAYOUT) or any(len(x) == 1 and x[0] in _BOILER for x in names)
                 elif said & _CONTENT and context > -8:
                     context = max(context, 3.0)
-    return context, in_article, skip
+    return context, in_article, skip, closed
+
+
+def _own_words(name: str) -> list[str]:
+    """Words of a class or id that tell what the element itself is."""
+    out = _WORD.findall(_CAMEL.sub(" ", name).lower())
+    return out[: next((k for k, w in enumerate(out) if w in _HOLDS), len(out))]
 
 
 def blocks(html: str) -> list[Block]:
@@ -126,6 +141,8 @@ def blocks(html: str) -> list[Block]:
         raw = m.group()
         tag = m.group(2) or m.group(6)
         if raw[0] != "<" or raw == "<":
+            if stack[-1].tag == "head" and not raw.isspace():
+                stack.pop()
             if not stack[-1].skip:
                 if not parts:
                     held = next(e for e in reversed(stack) if e.tag not in _INLINE)
@@ -139,6 +156,11 @@ def blocks(html: str) -> list[Block]:
         tag = tag.lower()
         closing = m.group(1) or m.group(5)
         attributes = m.group(3) if m.group(2) else m.group(7)
+        if not closing and (stack[-1].tag == "head" and tag not in _IN_HEAD or tag == "body"):
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].tag == "head":
+                    del stack[k:]
+                    break
         if tag not in _INLINE:
             end()
         elif tag == "br":
@@ -170,9 +192,9 @@ def blocks(html: str) -> list[Block]:
                     stack.pop()
             anchors = sum(e.tag == "a" for e in stack)
         number += 1
-        context, in_article, skip = _said(tag, attributes or "", stack[-1])
+        context, in_article, skip, closed = _said(tag, attributes or "", stack[-1])
         if not (attributes or "").rstrip().endswith("/") or tag not in ("svg", "math"):
-            stack.append(_Open(tag, number, context, in_article, skip, stack[-1].number))
+            stack.append(_Open(tag, number, context, in_article, skip, stack[-1].number, closed))
             anchors += tag == "a"
         if tag in _RAW:
             close = re.compile(rf"</{tag}", re.I).search(html, at)
