@@ -1,18 +1,18 @@
-"""Substring dedup by prefix-partitioned suffix trees.
+"""Substring dedup by prefix-partitioned suffixes, grouped by hashes of their windows.
 
 A window is ``WINDOW`` consecutive words. A word goes if a window over it has the word sequence of a window
 that starts earlier (smaller id, or the same document and an earlier start).
 
-Only suffixes that can reach a deep node are put into trees. Every window has an anchor, the least of its
+Only suffixes that can repeat for ``WINDOW`` words take part. Every window has an anchor, the least of its
 ten-word hashes; equal windows have equal anchors, so a window whose anchor occurs once in the corpus is a
 leaf that branches off above depth ``WINDOW``. Anchors (about every sixth word) are counted first, and
 documents get back those of theirs that occur again.
 
 The suffixes left are dealt to groups by a prefix of five words; prefixes that are frequent in a sample
 of the documents (``SAMPLE``; it shapes the layout, never the result) are lengthened to ten, then to
-twenty words, so that groups fit in memory. In a group the suffixes are sorted into a tree with levels
-at ten and twenty words; the nodes at twenty words with two or more leaves are the repeats, and all their
-leaves but the earliest start a repeated window. Neighbouring windows merge into spans, the maximal
+twenty words, so that groups fit in memory. In a group the suffixes, cut to twenty words
+and held as two hashes of ten words, are sorted by these hashes (not in word order; there are no nodes of other
+depths); equal pairs of hashes are the repeats, and all but the earliest start a repeated window. Neighbouring windows merge into spans, the maximal
 repeats. Suffixes of one batch with equal paths are merged before the shuffle, so a passage that a
 third of the documents share adds one suffix per batch to its group.
 
@@ -227,8 +227,8 @@ def _starts(rows: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
 
 
 def _later(a: np.ndarray, c: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sort suffixes into a tree (first ten words, next ten, then by place of start), and tell in that order
-    which leaves of a node at twenty words start later than its earliest."""
+    """Sort suffixes by the hashes of their first ten words and the next ten, then by place of start, and tell in
+    that order which of those with equal hashes start later than their earliest."""
     order = np.lexsort((pos, doc, c, a))
     x, y, d, p = a[order], c[order], doc[order], pos[order]
     if not len(order):
