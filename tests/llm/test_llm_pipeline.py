@@ -30,7 +30,7 @@ def rows(df):
 def test_queries_are_registered():
     names = set(entry_module.queries())
     assert set(queries.queries()) | {"pipeline"} <= names
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()} == set(range(1, 14))
 
 
 def test_stages_return_the_columns_of_documents(stages):

@@ -1,4 +1,4 @@
-"""Queries of the ten operators with production parameters, and the SQL of those that have one."""
+"""Queries of the thirteen operators with production parameters, and the SQL of those that have one."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayloom.llm import cells, decontaminate, html, jaccard, lines, pieces, quality, substrings, toxicity, urls
+from wayloom.llm import (
+    cells, decontaminate, divergence, html, jaccard, lines, pieces, quality, resample, substrings, toxicity, urls, warc,
+)
 
 #: Query name, module and the table it reads.
 _OPS = (
@@ -20,6 +22,9 @@ _OPS = (
     ("op8_url_filters", urls, "pages"),
     ("op9_html_extraction", html, "pages"),
     ("op10_toxicity", toxicity, "documents labels"),
+    ("op11_importance_resampling", resample, "documents benchmark"),
+    ("op12_warc", warc, "pages"),
+    ("op13_source_divergence", divergence, "documents"),
 )
 
 
