@@ -314,10 +314,11 @@ def read(archives: DataFrame, columns: list[str] | None = None, range_bytes: int
                     at += n
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], _FIELDS[c]) for c in names], names=names)
 
-    spread = archives.select("path").repartition("path")
-    found = spread.mapInArrow(locate, "path string, begin long, lengths array<long>")
+    # Stated numbers of partitions: by their few bytes, paths and ranges would be merged into one task.
+    spread = archives.select("path").repartition(max(1, archives.count()), "path")
+    found = materialize(spread.mapInArrow(locate, "path string, begin long, lengths array<long>"), "ranges")
     schema = ", ".join(f"{c} {_TYPES[_FIELDS[c]]}" for c in names)
-    return found.repartition("path", "begin").mapInArrow(fetch, schema)
+    return found.repartition(min(max(1, found.count()), 100_000), "path", "begin").mapInArrow(fetch, schema)
 
 
 ORACLE = f"""
