@@ -369,3 +369,23 @@ def test_sparse_sites_are_shrunk(spark):
     assert got[1001].score < got[1002].score < got[1000].score
     assert quality.judge(docs.limit(0), table).count() == 0
     assert {round(r.evidence, 6) for r in quality.judge(docs, table.limit(0)).collect()} == {0.0}
+
+
+@pytest.mark.parametrize("n_positive", [1, 2, 10])
+def test_few_positive_labels_still_order_the_scores(spark, n_positive):
+    rng = random.Random(n_positive)
+    sentence = lambda: " ".join(f"w{rng.randrange(400)}" for _ in range(8))
+    rows = []
+    for i in range(60):
+        bad = i < n_positive
+        text = ". ".join([sentence(), "you utter zorgfool and grobnik" if bad else sentence(), sentence()])
+        rows.append((i, text, int(bad)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, held_out_fold=False)
+    fresh = spark.createDataFrame([(1, "a zorgfool and grobnik"), (2, sentence())], "doc_id long, text string")
+    bad, good = (r.score for r in toxicity.score(fresh, model).orderBy("doc_id").collect())
+    assert bad > good and (n_positive < 10 or (bad >= 0.5 > good))
+    if n_positive == 10:
+        got = {r.doc_id: r.predicted for r in toxicity.score(docs, model).collect()}
+        assert got == {r[0]: r[2] for r in rows}

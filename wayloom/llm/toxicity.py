@@ -7,8 +7,13 @@ document offends.
 
 Features of a sentence are its words in lower case and their beginnings of 4, 5 and 6 bytes, hashed.
 Those that speak for the label on a bounded sample of labelled rows (``MAX_POSITIVE``,
-``MAX_NEGATIVE``, taken by hash of the id) are kept, at most ``MAX_FEATURES``. Every document is scored
-over its whole text.
+``MAX_NEGATIVE``, taken by hash of the id) are candidates; the ``MAX_FEATURES`` with the most evidence are learned from.
+Evidence is the deviance of a feature's counts from the label's share. No feature is left out for few
+occurrences; a weight is drawn to 0 the more, the further its evidence lies below what the best of so many
+features would show by chance (2 ln of their number). Every document is scored over its whole text.
+
+With very few positive labels (one or two) all evidence is below that mark: weights stay small and
+scores near those of clean texts, still ordered by evidence.
 
 Results in special cases: a null or empty text, and a table without positive labels, score the value
 of a document without sentences, 0.0; a null label counts as none; repeated rows are scored alike;
@@ -28,11 +33,14 @@ from pyspark.sql import functions as F
 
 from wayloom.llm import words
 from wayloom.llm.arrow import column, with_columns
+from wayloom.session import materialize
 
 MAX_POSITIVE = 4000
 MAX_NEGATIVE = 8000
 MAX_FEATURES = 4096
-MIN_POSITIVE_DOCS = 5
+#: Penalty of a weight whose evidence is at the mark; below it grows with the power ``FALL`` of the shortfall.
+PENALTY = 1e-5
+FALL = 4
 STEPS = 1000
 #: A sentence without evidence is at most this likely to offend (in log-odds).
 MAX_BIAS = -4.0
@@ -106,7 +114,7 @@ def fit(
     features (at most ``MAX_FEATURES``) and where they occur in the sample."""
     sample = _sample(labels, doc_id, label, held_out_fold)
     rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(sample), "__id")
-    rows = rows.select("__y", "text")
+    rows = materialize(rows.select("__y", "text"), "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -128,14 +136,25 @@ def fit(
     counts = rows.mapInArrow(count, "f long, pos long, n long").groupBy("f").agg(
         F.sum("pos").alias("pos"), F.sum("n").alias("n")
     )
-    rate1, rate0 = F.col("pos") / n1, (F.col("n") - F.col("pos")) / max(n0, 1)
-    lift = F.log((F.col("pos") + 0.5) / (n1 + 1)) - F.log((F.col("n") - F.col("pos") + 0.5) / (n0 + 1))
-    z = (rate1 - rate0) / F.sqrt(rate1 * (1 - rate1) / n1 + rate0 * (1 - rate0) / max(n0, 1) + 1e-9)
+    counts = materialize(counts, "features")
+    p, q, all_p = F.col("pos").cast("double"), (F.col("n") - F.col("pos")).cast("double"), n1 / (n1 + n0)
+
+    def part(seen, share):
+        return F.when(seen > 0, seen * F.log(seen / share)).otherwise(0.0)
+
+    n = F.col("n").cast("double")
+    rest = F.lit(float(n1 + n0)) - n
+    deviance = 2 * (
+        part(p, n * all_p) + part(q, n * (1 - all_p)) + part(n1 - p, rest * all_p) + part(n0 - q, rest * (1 - all_p))
+    )
     chosen = (
-        counts.filter(F.col("pos") >= min(MIN_POSITIVE_DOCS, n1))
-        .filter((z > 2) & (lift > 1.5))
-        .select("f", (z * lift).alias("s")).orderBy(F.desc("s"), "f").limit(MAX_FEATURES).collect()
+        counts.filter(p > n * all_p).select("f", deviance.alias("s"))
+        .orderBy(F.desc("s"), "f").limit(MAX_FEATURES).collect()
     )
+    mark = 2 * np.log(max(counts.count(), 2))
+    chosen.sort(key=lambda r: np.uint64(r["f"] & 0xFFFFFFFFFFFFFFFF))
+    evidence = np.maximum(np.array([r["s"] for r in chosen]), 1e-3)
+    penalty = PENALTY * np.minimum((mark / evidence) ** FALL, 1e4)
     known = np.sort(np.array([r["f"] for r in chosen], np.int64).view(np.uint64))
 
     def gather(b: pa.RecordBatch) -> list:
@@ -152,11 +171,11 @@ def fit(
         return [pa.array(list(x), t) for x, t in zip(columns, (pa.list_(pa.int64()), pa.list_(pa.int32())))]
 
     found = with_columns(rows, "s array<long>, f array<int>", gather, drop=("text",)).collect()
-    return _learn(known, found)
+    return _learn(known, found, penalty)
 
 
-def _learn(known: np.ndarray, found: list) -> Model:
-    """Gradient ascent (Adam) on the likelihood of the noisy-or, with a penalty on the weights."""
+def _learn(known: np.ndarray, found: list, penalty: np.ndarray) -> Model:
+    """Gradient ascent (Adam) on the likelihood of the noisy-or, with a penalty on each weight."""
     y = np.array([r["__y"] for r in found], float)
     keys, feats, bag = [], [], []
     for i, r in enumerate(found):
@@ -181,7 +200,7 @@ def _learn(known: np.ndarray, found: list) -> Model:
         pull = weight * np.where(y > 0, np.exp(quiet) / np.maximum(loud, 1e-9), -1.0)
         gz = pull[bag] * p  # d(-quiet)/dz is p
         g = np.append(np.bincount(feats, gz[sentence], d), gz.sum()) / len(y)
-        g[:d] -= 1e-5 * w
+        g[:d] -= penalty * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta + 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         theta[d] = min(theta[d], MAX_BIAS)  # a sentence without evidence stays harmless in long documents
