@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from wayloom.operators import movement, trips
@@ -63,7 +64,7 @@ def brute_minute_order(rows):
     for m in sorted(minutes):
         pts = minutes[m]
         if len(pts) > 1 and last is not None:
-            pts = sorted(pts, key=lambda p: np_haversine(last[2], last[3], p[2], p[3]))
+            pts = sorted(pts, key=lambda p: round(np_haversine(last[2], last[3], p[2], p[3]), 6))
         out += [(m, k + 1, p[1]) for k, p in enumerate(pts)]
         last = pts[-1]
     return out
@@ -81,6 +82,18 @@ def test_minute_order_equals_brute_force(spark):
         assert sorted((r.minute, r.pos, r.event_id) for r in got if r.user_id == u) == sorted(brute_minute_order(mine))
 
 
+@pytest.mark.parametrize("slice_minutes", [1, 3, 10_000])
+def test_minute_order_of_one_long_run_is_many_slices(spark, slice_minutes):
+    rnd = random.Random(7)
+    # Users with several points in every minute: no minute starts a run of its own. Equal places are ties.
+    rows = [(u, 60 * m - 1200 + rnd.randrange(60), rnd.randrange(9) * 0.01, rnd.randrange(9) * 0.01) for u in range(2) for m in range(40) for _ in range(rnd.randrange(2, 6))]
+    df = points(spark, rows).withColumn("event_id", F.col("event_id") + 2**60)
+    got = movement.order_within_minutes(df, 600, slice_minutes).collect()
+    for u in range(2):
+        mine = [(t, k + 2**60, lat, lon) for k, (v, t, lat, lon) in enumerate(rows) if v == u]
+        assert sorted((r.minute, r.pos, r.event_id) for r in got if r.user_id == u) == sorted(brute_minute_order(mine))
+
+
 def test_thinning_equals_brute_force(spark):
     rnd = random.Random(9)
     rows, lat = [], 0.0

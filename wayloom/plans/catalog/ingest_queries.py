@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wayloom.functions import parse
-from wayloom.operators import dedup
+from wayloom.operators import dedup, imports
 from wayloom.plans.oracle import with_ctes
 from wayloom.plans.registry import query
+from wayloom.session import table_path
 from wayloom.sources import batches as messages_source
 from wayloom.sources import timeline
 
 
-def timeline_exports(i):
+def timeline_export_texts(i):
     """One export per point: an array with a visit, an activity, a path and a memory entry."""
     at = F.timestamp_seconds("t")
     iso = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
@@ -52,7 +53,11 @@ def timeline_exports(i):
         iso.alias("startTime"), end.alias("endTime"), F.struct(F.lit("40").alias("distanceFromOriginKms")).alias("timelineMemory")
     )
     entries = F.concat(*[F.lit("["), F.to_json(visit), F.lit(","), F.to_json(activity), F.lit(","), F.to_json(path), F.lit(","), F.to_json(memory), F.lit("]")])
-    return timeline.read_entries(src.select("event_id", entries.alias("json")))
+    return src.select("event_id", entries.alias("json"))
+
+
+def timeline_exports(i):
+    return timeline.read_entries(timeline_export_texts(i))
 
 
 E5 = "CAST(round(lat*1e5) AS BIGINT) AS lat_e5, CAST(round(lon*1e5) AS BIGINT) AS lon_e5"
@@ -409,3 +414,83 @@ def import_counts(i):
 def maxspeed(i):
     """speed limit text to km/h."""
     return i.maxspeed().select("id", "raw", F.round(parse.max_speed_kmh(F.col("raw")), 6).alias("kmh"))
+
+
+def user_exports(i, import_no: int, kept: str):
+    """One export per user: all entries of the user's events that ``kept`` names, as one text."""
+    entries = timeline_export_texts(i).join(i.events().select("event_id", "user_id"), "event_id").filter(kept)
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "json"))), lambda e: F.substring(e.json, F.lit(2), F.length(e.json) - 2))
+    return entries.groupBy("user_id").agg(F.concat(F.lit("["), F.array_join(parts, ","), F.lit("]")).alias("json")).select(
+        (F.col("user_id") * 10 + import_no).alias("export_id"), "user_id", F.lit(f"export {import_no}").alias("export_name"),
+        F.lit("2030-01-01 00:00:00").cast("timestamp").alias("export_date"), "json",
+    )
+
+
+def imported(i) -> imports.Store:
+    """A store after four imports: two thirds of the events, another two thirds, the first again under another id
+    together with texts that are no export, and the second again under its own id."""
+    store = imports.Store(i.spark, table_path(i.spark, i.sf_dir, "timelines"))
+    first, second = user_exports(i, 1, "event_id % 3 <> 0"), user_exports(i, 2, "event_id % 3 <> 1")
+    store.add(first, "first")
+    store.add(second, "second")
+    broken = i.events().select("user_id").distinct().filter("user_id % 7 = 0").selectExpr(
+        "user_id * 10 + 4 AS export_id", "user_id", "'broken' AS export_name", "CAST('2030-01-01 00:00:00' AS TIMESTAMP) AS export_date",
+        "CASE WHEN user_id % 2 = 0 THEN '' ELSE '{oops' END AS json",
+    )
+    store.add(first.withColumn("export_id", F.col("export_id") + 2).unionByName(broken), "third")
+    store.add(second, "second")
+    return store
+
+
+# What the imports leave: events of the first export, then those of the second whose key the first doesn't hold.
+IMPORTS = {
+    "raw_point": """SELECT user_id, event_id, t+60*m AS t FROM (SELECT *, 0 AS m FROM pings UNION ALL SELECT *, event_id%30 AS m FROM pings) p""",
+    "raw_event": """SELECT 'location' AS kind, user_id, event_id, t AS start_t, CAST(NULL AS BIGINT) AS end_t FROM raw_point
+UNION ALL SELECT 'activity', user_id, event_id, t, t+600 FROM pings
+UNION ALL SELECT 'visit', user_id, event_id, t, t+600 FROM pings WHERE event_id%13<>0""",
+    "kept_event": """SELECT 'first' AS import_id, * FROM raw_event WHERE event_id%3<>0
+UNION ALL SELECT 'second', * FROM raw_event b WHERE event_id%3<>1 AND NOT EXISTS (
+ SELECT 1 FROM raw_event a WHERE a.event_id%3<>0 AND a.kind=b.kind AND a.user_id=b.user_id AND a.start_t=b.start_t AND a.end_t IS NOT DISTINCT FROM b.end_t)""",
+}
+
+
+@query(
+    "timeline_import",
+    with_ctes("SELECT import_id, kind, user_id, start_t, end_t, count(*) AS n FROM kept_event GROUP BY ALL", IMPORTS),
+)
+def timeline_import(i):
+    """Q-5: stored rows after importing overlapping and repeated export texts."""
+    store = imported(i)
+
+    def rows(table: str, kind: str, start: str, end):
+        return store.read(table).select("import_id", F.lit(kind).alias("kind"), "user_id", F.col(start).alias("start_t"), end.alias("end_t"))
+
+    every = (
+        rows("locations", "location", "t", F.lit(None).cast("long"))
+        .unionByName(rows("activities", "activity", "start_t", F.col("end_t")))
+        .unionByName(rows("visits", "visit", "arrival_t", F.col("departure_t")))
+    )
+    return every.groupBy(*every.columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "timeline_import_replies",
+    with_ctes(
+        """SELECT r.import_id, r.user_id, count(*) FILTER (WHERE kind='location') AS processed_locations, count(*) FILTER (WHERE kind='activity') AS processed_activities,
+ count(*) FILTER (WHERE kind='visit') AS processed_visits, CASE WHEN r.import_id='broken' THEN 'rejected' WHEN count(kind)=0 THEN 'unchanged' ELSE 'imported' END AS outcome,
+ count(kind)>0 AS has_batch
+FROM (SELECT DISTINCT 'first' AS import_id, user_id FROM pings WHERE event_id%3<>0 UNION ALL SELECT DISTINCT 'second', user_id FROM pings WHERE event_id%3<>1
+ UNION ALL SELECT DISTINCT 'third', user_id FROM pings WHERE event_id%3<>0 UNION ALL SELECT DISTINCT 'broken', user_id FROM pings WHERE user_id%7=0) r
+LEFT JOIN kept_event k ON k.import_id=r.import_id AND k.user_id=r.user_id GROUP BY r.import_id, r.user_id""",
+        IMPORTS,
+    ),
+)
+def timeline_import_replies(i):
+    """Q-5: counters and outcome of every import request, and whether a batch is stored for it."""
+    store = imported(i)
+    batches = store.read("batches").filter("ready_for_processing AND NOT processed").select("batch_id").withColumn("_b", F.lit(True))
+    asked = F.when(F.col("export_id") % 10 == 4, "broken").otherwise(F.col("import_id"))
+    return store.read("manifest").join(batches, "batch_id", "left").select(
+        asked.alias("import_id"), "user_id", "processed_locations", "processed_activities", "processed_visits", "outcome",
+        F.coalesce("_b", F.lit(False)).alias("has_batch"),
+    )

@@ -199,7 +199,23 @@ def stay_points(i):
     )
 
 
-@query("points_per_minute_order")
+def _minute_sql() -> str:
+    """One step per minute of a user; a step orders the minute's points by the last one of the step before."""
+    head = with_ctes("SELECT user_id, event_id, lat, lon, (t//21600)*60 + t%60 AS t FROM pings")
+    inner = head[len("WITH ") :]
+    cut = inner.rindex("\nSELECT user_id, event_id, lat, lon")
+    return f"""WITH RECURSIVE {inner[:cut]},
+raw AS ({inner[cut:]}),
+ord AS MATERIALIZED (SELECT *, t//60 AS minute, dense_rank() OVER (PARTITION BY user_id ORDER BY t//60) AS m FROM raw),
+walk AS (
+ SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM ord WHERE m=1
+ UNION ALL
+ SELECT o.*, row_number() OVER (PARTITION BY o.user_id ORDER BY round({hav("w.lat", "w.lon", "o.lat", "o.lon")},6), o.t, o.event_id), count(*) OVER (PARTITION BY o.user_id)
+ FROM walk w JOIN ord o ON o.user_id=w.user_id AND o.m=w.m+1 WHERE w.pos=w.n)
+SELECT user_id, minute, t, event_id, lat, lon, pos FROM walk"""
+
+
+@query("points_per_minute_order", _minute_sql())
 def points_per_minute_order(i):
     """Order of points that share a minute."""
     coarse = i.pings().withColumn("t", F.expr("(t div 21600)*60 + t % 60"))

@@ -68,14 +68,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def file_names(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that fit a glob, on whatever file system the path names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(str(f.getPath()) for f in found or [])
+
+
+def table_path(spark: SparkSession, key: str, name: str) -> str:
+    """Place in the shared folder that is the same throughout an application."""
+    app = spark.sparkContext.applicationId
+    return os.path.join(shared_dir(spark), "wayloom-tables", app, uuid.uuid5(uuid.NAMESPACE_URL, key).hex, name)
+
+
 def stored(spark: SparkSession, key: str, name: str, build) -> DataFrame:
     """A table built once per application and kept in the shared folder.
 
     Network tables are inputs of many jobs; like any preprocessing they are written once and
     then read. The path names the application, so nothing outlives or leaks between runs.
     """
-    app = spark.sparkContext.applicationId
-    path = os.path.join(shared_dir(spark), "wayloom-tables", app, uuid.uuid5(uuid.NAMESPACE_URL, key).hex, name)
+    path = table_path(spark, key, name)
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(path, "_SUCCESS"))
     if not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
         build().write.mode("overwrite").parquet(path)
