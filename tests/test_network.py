@@ -3,6 +3,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from wayloom.config import MATCH, TileConfig
@@ -134,6 +135,59 @@ def test_bounded_paths_equal_brute_force(spark):
     assert found > 10
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_searches_from_one_start_run_once(spark, seed):
+    """Many searches from few starts, each with its own limit, goal and targets, against one search at a time."""
+    lattice_segs, _ = lattice(spark)
+    segs = materialize(lattice_segs, "segs")
+    sn = materialize(network.segment_nodes(segs), "sn")
+    conns = materialize(network.connections(sn), "conns")
+    edges = network.graph_edges(sn, network.declared_edges(segs, conns))
+    trans = materialize(network.transitions(sn, edges, conns), "trans")
+    moves = defaultdict(list)
+    for m in trans.collect():
+        moves[m.src].append(m)
+    verts = {(r.segment_id, r.idx): r for r in sn.collect()}
+    ids = sorted({x for x, _ in verts})
+    rnd = random.Random(seed)
+    starts = [(rnd.choice(ids), rnd.randrange(5)) for _ in range(3)]
+    searches, targets, cases = [], [], []
+    for n in range(40):
+        a, e = rnd.choice(starts)
+        goals = rnd.sample([x for x in ids if x != a], 3)
+        limit = rnd.choice([150.0, 300.0, 500.0, 900.0, 1400.0])
+        goal, st = verts[goals[0], 2], verts[a, e]
+        searches.append((n, a, e, float(st.pos_m), limit, float(goal.lat), float(goal.lon), 2000.0, float(st.lat), float(st.lon), 1.0))
+        targets += [(n, b, x, float(verts[b, x].pos_m)) for b in goals for x in (0, 3)]
+        cases.append((n, a, e, float(st.pos_m), limit, goals))
+    s = spark.createDataFrame(searches, "n long, from_seg long, from_entry int, from_pos double, limit_m double, goal_lat double, goal_lon double, slack_m double, start_lat double, start_lon double, start_slack_m double")
+    t = spark.createDataFrame(targets, "n long, to_seg long, to_exit int, to_pos double")
+    sources = []
+    found = paths.bounded_paths(s, t, ["n"], trans, count=lambda d: sources.append(d.count())).collect()
+    assert sources[0] <= 3
+    got = {(r.n, r.to_seg, r.to_exit): r for r in found}
+    assert len(got) == len(found)
+    seen = 0
+    for n, a, e, pos, limit, goals in cases:
+        best = brute_paths(moves, verts, a, e, pos, limit, {})
+        for b in goals:
+            for x in (0, 3):
+                r = got.get((n, b, x))
+                assert (r is None) == (b not in best), (n, b, x)
+                if r is None:
+                    continue
+                seen += 1
+                assert abs(r.cost - best[b]) < 1e-6 and r.length_m <= limit and r.path[-1].exit_idx == x
+                # The path's own moves add up to its cost and length.
+                g, d, p = 0.0, 0.0, pos
+                for one, two in zip(r.path, r.path[1:]):
+                    move = next(m for m in moves[one.segment_id] if (m.exit_idx, m.dst, m.entry_idx) == (one.exit_idx, two.segment_id, two.entry_idx))
+                    leg = abs(move.exit_pos - p)
+                    g, d, p = g + (max(leg / 500.0, 0.1) + 1.0) * move.static_cost, d + leg, move.entry_pos
+                assert abs(g - r.cost) < 1e-6 and abs(d - r.length_m) < 1e-3 and r.path[0].entry_idx == e
+    assert seen > 40
+
+
 def test_reachable_levels(spark):
     edges = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (3, 4, 1.0), (1, 3, 1.0)], "src long, dst long, cost double")
     got = paths.reachable(spark.createDataFrame([(1,)], "source long"), edges, 2)

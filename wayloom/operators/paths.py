@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,6 +57,7 @@ def bounded_paths(
     near: DataFrame | None = None,
     near_key: str | None = None,
     cfg: MatchConfig = MATCH,
+    count: Callable[[DataFrame], None] | None = None,
 ) -> DataFrame:
     """Cheapest paths no longer than a limit, for many searches at once.
 
@@ -64,66 +66,138 @@ def bounded_paths(
     ``targets``: key, to_seg, to_exit; a search may have several. ``near`` (near_key,
     segment_id, n_near) holds the points that make a segment cheaper within a search's group.
 
-    A label is a way of having entered a segment at a vertex, with its cost and length. Per
-    round every new label moves over all transitions of its segment, twice; per (search, segment,
+    Searches from one segment and vertex (of one group, where ``near`` is given) are one source and run once, up to
+    the longest of their limits; each then takes the best label within its own. A label is a way of having entered a segment
+    at a vertex, with its cost, length and steps, and names the label before it instead of holding its path. Per
+    round every new label moves over all transitions of its segment, twice; per (source, segment,
     entry) only labels that are cheaper or shorter than every other stay, so the cheapest path
-    within the limit is never lost to a cheaper but longer beginning. Labels are dropped when
-    the straight line to the goal no longer fits the limit (``slack_m`` covers the extent of
-    the target segments), or when all targets are reached at a lower cost. The search ends when
-    no label is new: lengths are bounded by the limits, so it always ends. Costs are kept to 1e-9 and lengths to 1e-6, so that equal paths in another
-    order of addition count as equal.
+    within any limit is never lost to a cheaper but longer beginning. Labels are dropped when
+    the straight line to the goals no longer fits (``slack_m`` covers the extent of
+    the target segments), or when all targets of the source are reached at a lower cost. It ends when
+    no label is new: lengths are bounded by the limits, so it always ends. Paths are put together at the end, for the
+    best labels only, by walking the rounds backward. Costs are kept to 1e-9 and lengths to 1e-6, so that equal paths in
+    another order of addition count as equal; of these, the one with the fewest steps stays, then the one whose steps
+    are smaller, from the last to the first.
 
     Result: key, to_seg, to_exit, cost, length_m, path (segments with entry and exit index).
-    The start segment's leg counts towards the length, the target's does not.
+    The start segment's leg counts towards the length, the target's does not. ``count`` is given the table of sources.
     """
     spark = searches.sparkSession
     trivial, open_targets = _split_trivial(searches, targets, key)
     candidates = materialize(open_targets.select(*key, "to_seg", "to_exit").distinct(), "targets")
     wanted = materialize(reachable_targets(searches, candidates, key, transitions), "reachable")
-    n_targets = wanted.groupBy(*key).agg(F.countDistinct("to_seg").alias("n_targets"))
-    start = searches.join(n_targets, key).select(
-        *key, "limit_m", "goal_lat", "goal_lon", "slack_m", "n_targets",
+    sources, wanted = _sources(searches, wanted, key, near_key if near is not None else None)
+    if count is not None:
+        count(sources)
+    start = sources.select(
+        "sid", "near_group", "limit_m", "goal_lat", "goal_lon", "reach_m",
         F.col("from_seg").alias("seg"), F.col("from_entry").cast("int").alias("entry"),
-        F.col("from_pos").alias("pos"), F.lit(0.0).alias("g"), F.lit(0.0).alias("dist"),
-        F.array().cast(STEP).alias("path"), F.lit(False).alias("moved"),
+        F.col("from_pos").alias("pos"), F.lit(0.0).alias("g"), F.lit(0.0).alias("dist"), F.lit(0).alias("steps"),
+        *[F.lit(None).cast(kind).alias(c) for c, kind in _PARENT.items()], F.lit(False).alias("moved"),
     )
     # Labels live in a table with one folder per round: each round appends its new labels and
-    # reads the older ones by column, so nothing is written twice.
-    table = scratch_path(spark, "labels")
+    # reads the older ones by column, so nothing is written twice. Labels of target segments go to a second, small one.
+    table, hits = scratch_path(spark, "labels"), scratch_path(spark, "hits")
     start.write.parquet(f"{table}/round=0")
     columns = spark.read.parquet(f"{table}/round=0").schema.fields
+    _hits(spark.read.parquet(f"{table}/round=0"), wanted, key).write.parquet(f"{hits}/round=0")
+    hit_columns = spark.read.parquet(f"{hits}/round=0").schema.fields
 
-    def labels() -> DataFrame:
-        return spark.read.schema(T.StructType([*columns, T.StructField("round", T.IntegerType())])).parquet(table)
+    def labels(round_no: int | None = None) -> DataFrame:
+        known = spark.read.schema(T.StructType([*columns, T.StructField("round", T.IntegerType())])).parquet(table)
+        return known if round_no is None else known.filter(F.col("round") == round_no).drop("round")
 
     for number in itertools.count(1):
-        known = labels()
-        frontier = known.filter((F.col("round") == number - 1) & ~F.col("moved")).drop("round", "moved")
+        frontier = labels(number - 1).filter(~F.col("moved")).drop("moved")
         if frontier.isEmpty():
             break
-        bound = _cost_bound(known, wanted, key)
-        alive = frontier.join(bound, key, "left").filter(F.col("bound").isNull() | (F.col("g") < F.col("bound")))
-        once = _undominated(_move(alive.drop("bound"), key, transitions, near, near_key, cfg), key)
-        twice = _move(once, key, transitions, near, near_key, cfg)
+        reached = spark.read.schema(T.StructType(hit_columns)).parquet(*[f"{hits}/round={r}" for r in range(number)])
+        bound = _cost_bound(reached, sources, key)
+        alive = frontier.join(bound, "sid", "left").filter(F.col("bound").isNull() | (F.col("g") <= F.col("bound")))
+        once = _undominated(_move(alive.drop("bound"), transitions, near, near_key, cfg))
+        twice = _move(once, transitions, near, near_key, cfg)
         both = once.withColumn("moved", F.lit(True)).unionByName(twice.withColumn("moved", F.lit(False)))
-        _unknown(_undominated(both, key), known, key).write.parquet(f"{table}/round={number}")
-    found = (
-        labels().join(wanted.withColumnRenamed("to_seg", "seg"), [*key, "seg"])
-        .groupBy(*key, F.col("seg").alias("to_seg"), "to_exit")
-        .agg(F.min(F.struct("g", "dist", "entry", "path")).alias("b"))
+        _unknown(_undominated(both), labels()).write.parquet(f"{table}/round={number}")
+        _hits(labels(number), wanted, key).write.parquet(f"{hits}/round={number}")
+    every_hit = spark.read.schema(T.StructType(hit_columns)).parquet(*[f"{hits}/round={r}" for r in range(number)])
+    best = materialize(
+        every_hit.groupBy(*key, "to_seg").agg(F.min(F.struct("g", "dist", "steps", "entry", "sid")).alias("b"))
+        .select(*key, "to_seg", "b.*"), "best",
+    )
+    ends = best.select("sid", F.col("to_seg").alias("seg"), "entry", "g", "dist").distinct()
+    whole = _rebuilt(ends, [labels(r) for r in range(number - 1, 0, -1)])
+    found = best.join(whole.withColumnRenamed("seg", "to_seg"), ["sid", "to_seg", "entry", "g", "dist"]).join(
+        wanted.select(*key, "to_seg", "to_exit").distinct(), [*key, "to_seg"]
     )
     last = F.array(
-        F.struct(
-            F.col("to_seg").alias("segment_id"), F.col("b.entry").alias("entry_idx"), F.col("to_exit").alias("exit_idx")
-        )
+        F.struct(F.col("to_seg").alias("segment_id"), F.col("entry").alias("entry_idx"), F.col("to_exit").alias("exit_idx"))
     )
     paths = found.select(
-        *key, "to_seg", "to_exit", F.col("b.g").alias("cost"), F.col("b.dist").alias("length_m"),
-        F.concat("b.path", last.cast(STEP)).alias("path"),
+        *key, "to_seg", "to_exit", F.col("g").alias("cost"), F.col("dist").alias("length_m"),
+        F.concat("before", last.cast(STEP)).alias("path"),
     )
     return paths.unionByName(trivial)
 
 
+#: What a label knows of the one before it: its place, cost and length, and the vertex it was left by.
+_PARENT = {"p_seg": "bigint", "p_entry": "int", "p_exit": "int", "p_g": "double", "p_dist": "double"}
+_LABEL = ["sid", "seg", "entry", "g", "dist"]
+
+
+def _sources(searches: DataFrame, wanted: DataFrame, key: list[str], group: str | None) -> tuple[DataFrame, DataFrame]:
+    """The distinct starts of all searches that have a target, and the targets with their search's source and limit.
+
+    A source keeps within the largest reach of its searches around one goal: each search's limit and slack, plus the way
+    from that search's own goal to this one.
+    """
+    start = ["near_group", "from_seg", "from_entry", "from_pos"]
+    asked = searches.withColumn("near_group", F.col(group).cast("string") if group else F.lit(""))
+    asked = asked.join(wanted.select(*key).distinct(), key, "left_semi")
+    one = asked.groupBy(*start).agg(F.min(F.struct("goal_lat", "goal_lon")).alias("one"))
+    apart = geo.haversine(F.col("one.goal_lat"), F.col("one.goal_lon"), F.col("goal_lat"), F.col("goal_lon"))
+    sources = (
+        asked.join(one, start).groupBy(*start)
+        .agg(
+            F.max("limit_m").alias("limit_m"), F.max(F.col("limit_m") + F.col("slack_m") + apart).alias("reach_m"),
+            F.first("one").alias("one"),
+        )
+        .select(F.monotonically_increasing_id().alias("sid"), *start, "limit_m", "reach_m", "one.goal_lat", "one.goal_lon")
+    )
+    sources = materialize(sources, "sources")
+    of_key = asked.join(sources.select("sid", *start), start).select("sid", *key, "limit_m")
+    wanted = materialize(wanted.join(of_key, key), "wanted")
+    open_of = wanted.select("sid", *key, "to_seg").distinct().groupBy("sid").agg(F.count(F.lit(1)).alias("n_open"))
+    return materialize(sources.join(open_of, "sid"), "sources"), wanted
+
+
+def _hits(labels: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
+    """Labels on target segments, for every search that takes them within its own limit."""
+    asked = wanted.select("sid", *key, F.col("to_seg").alias("seg"), F.col("limit_m").alias("own_limit")).distinct()
+    return (
+        labels.select(*_LABEL, "steps").join(asked, ["sid", "seg"]).filter(F.col("dist") <= F.col("own_limit"))
+        .select(*key, "sid", F.col("seg").alias("to_seg"), "entry", "g", "dist", "steps")
+    )
+
+
+def _rebuilt(ends: DataFrame, rounds: list[DataFrame]) -> DataFrame:
+    """Steps before each of the labels ``ends``, by their rounds from the last to the first."""
+    name = {c: f"end_{c}" for c in _LABEL}
+    at = ends.select(*[F.col(c).alias(n) for c, n in name.items()], *_LABEL, F.array().cast(STEP).alias("before"))
+    step = F.struct(F.col("p_seg").alias("segment_id"), F.col("p_entry").alias("entry_idx"), F.col("p_exit").alias("exit_idx"))
+    back = {"seg": "p_seg", "entry": "p_entry", "g": "p_g", "dist": "p_dist"}
+    for known in rounds:
+        # A round's second move starts from labels of its first.
+        for moved in (False, True):
+            here = known.filter(F.col("moved") == moved).select(*_LABEL, *_PARENT)
+            at = at.join(here, _LABEL, "left").select(
+                *name.values(), "sid",
+                *[F.coalesce(F.col(p), F.col(c)).alias(c) for c, p in back.items()],
+                F.when(F.col("p_seg").isNull(), F.col("before")).otherwise(F.concat(F.array(step).cast(STEP), "before")).alias("before"),
+            )
+        at = materialize(at, "rebuilt")
+    return at.select(*[F.col(n).alias(c) for c, n in name.items()], "before")
+
+
 def reachable_targets(searches: DataFrame, targets: DataFrame, key: list[str], transitions: DataFrame) -> DataFrame:
     """Targets their search can reach at all, so that no search runs for the others.
 
@@ -194,55 +268,48 @@ def _split_trivial(searches: DataFrame, targets: DataFrame, key: list[str]) -> t
     return same, both.filter(F.col("to_seg") != F.col("from_seg"))
 
 
-def _cost_bound(labels: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
-    """Highest of the best target costs, for searches that have reached all their targets."""
-    reached = (
-        labels.select(*key, F.col("seg").alias("to_seg"), "g", "n_targets")
-        .join(wanted, [*key, "to_seg"], "left_semi")
-        .groupBy(*key, "to_seg")
-        .agg(F.min("g").alias("g"), F.first("n_targets").alias("n_targets"))
-    )
+def _cost_bound(hits: DataFrame, sources: DataFrame, key: list[str]) -> DataFrame:
+    """Highest of the best target costs, for sources all of whose searches have reached all their targets."""
+    best = hits.groupBy("sid", *key, "to_seg").agg(F.min("g").alias("g"))
     return (
-        reached.groupBy(*key)
-        .agg(F.max("g").alias("bound"), F.count(F.lit(1)).alias("_n_reached"), F.first("n_targets").alias("n_targets"))
-        .filter(F.col("_n_reached") == F.col("n_targets"))
-        .select(*key, "bound")
+        best.groupBy("sid").agg(F.max("g").alias("bound"), F.count(F.lit(1)).alias("n"))
+        .join(sources.select("sid", "n_open"), "sid").filter(F.col("n") == F.col("n_open")).select("sid", "bound")
     )
 
 
-def _move(alive: DataFrame, key: list[str], transitions: DataFrame, near: DataFrame | None, near_key: str | None, cfg: MatchConfig) -> DataFrame:
+def _move(alive: DataFrame, transitions: DataFrame, near: DataFrame | None, near_key: str | None, cfg: MatchConfig) -> DataFrame:
     leg = F.abs(F.col("exit_pos") - F.col("pos"))
     out = (
-        alive.join(transitions, F.col("seg") == F.col("src"))
+        alive.drop(*_PARENT).join(transitions, F.col("seg") == F.col("src"))
         .filter(~F.col("src_oneway") | (F.col("exit_idx") >= F.col("entry")))
         .withColumn("leg", leg)
         .withColumn("new_dist", F.round(F.col("dist") + F.col("leg"), 6))
         .filter(F.col("new_dist") <= F.col("limit_m"))
         .filter(
             F.col("new_dist") + geo.haversine(F.col("lat"), F.col("lon"), F.col("goal_lat"), F.col("goal_lon"))
-            <= F.col("limit_m") + F.col("slack_m") + 0.01
+            <= F.col("reach_m") + 0.01
         )
     )
     if near is None:
         out = out.withColumn("n_near", F.lit(0))
     else:
-        counts = near.select(near_key, F.col("segment_id").alias("dst"), "n_near")
-        out = out.join(counts, [near_key, "dst"], "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)))
+        counts = near.select(F.col(near_key).cast("string").alias("near_group"), F.col("segment_id").alias("dst"), "n_near")
+        out = out.join(counts, ["near_group", "dst"], "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)))
     cost = roads.move_cost(
         F.col("leg"), F.col("static_cost"), F.col("n_near"), F.col("dst_private"), cfg.near_point_factor, cfg.private_factor
     )
-    step = F.struct(F.col("seg").alias("segment_id"), F.col("entry").alias("entry_idx"), F.col("exit_idx").alias("exit_idx"))
     return out.select(
-        *key, "limit_m", "goal_lat", "goal_lon", "slack_m", "n_targets",
+        "sid", "near_group", "limit_m", "goal_lat", "goal_lon", "reach_m",
         F.col("dst").alias("seg"), F.col("entry_idx").cast("int").alias("entry"), F.col("entry_pos").alias("pos"),
-        F.round(F.col("g") + cost, 9).alias("g"), F.col("new_dist").alias("dist"),
-        F.concat("path", F.array(step).cast(STEP)).alias("path"),
+        F.round(F.col("g") + cost, 9).alias("g"), F.col("new_dist").alias("dist"), (F.col("steps") + 1).alias("steps"),
+        F.col("seg").alias("p_seg"), F.col("entry").alias("p_entry"), F.col("exit_idx").cast("int").alias("p_exit"),
+        F.col("g").alias("p_g"), F.col("dist").alias("p_dist"),
     )
 
 
-def _undominated(labels: DataFrame, key: list[str]) -> DataFrame:
+def _undominated(labels: DataFrame) -> DataFrame:
     """Keep labels shorter than all that are cheaper."""
-    order = Window.partitionBy(*key, "seg", "entry").orderBy("g", "dist", "path")
+    order = Window.partitionBy("sid", "seg", "entry").orderBy("g", "dist", "steps", *_PARENT)
     shortest = F.min("dist").over(order.rowsBetween(Window.unboundedPreceding, -1))
     return (
         labels.withColumn("_shortest", shortest)
@@ -251,11 +318,11 @@ def _undominated(labels: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
-def _unknown(new: DataFrame, known: DataFrame, key: list[str]) -> DataFrame:
+def _unknown(new: DataFrame, known: DataFrame) -> DataFrame:
     """New labels that no known label matches in both cost and length."""
-    n, k = new.alias("n"), known.select(*key, "seg", "entry", "g", "dist").alias("k")
+    n, k = new.alias("n"), known.select(*_LABEL).alias("k")
     on = (F.col("k.g") <= F.col("n.g")) & (F.col("k.dist") <= F.col("n.dist"))
-    for c in [*key, "seg", "entry"]:
+    for c in ("sid", "seg", "entry"):
         on = on & (F.col(f"n.{c}") == F.col(f"k.{c}"))
     return n.join(k, on, "left_anti")
 
