@@ -1,9 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from plain_fold import TripFold, line_distance
 from wayloom.functions import geo, roads
 from wayloom.operators import matching
-from wayloom.operators.matching import _TripFold, line_distance
 from wayloom.plans.inputs import Inputs
 
 
@@ -57,7 +59,7 @@ def option(score, seg, bound, end, steps):
 
 
 def test_fold_follows_the_constraint():
-    fold = _TripFold("t", 20.0, 150.0)
+    fold = TripFold("t", 20.0, 150.0)
     a = [step(1, 0.0), step(2, 90.0, 0.001)]
     fold.add(window(0, False, [option(1.0, 1, True, 2, a), option(1.0, 1, False, 2, a)]))
     assert [s["segment_id"] for s in fold.route] == [1] and fold.fixed == 2
@@ -69,7 +71,7 @@ def test_fold_follows_the_constraint():
 
 
 def test_fold_bridges_when_the_constraint_fails():
-    fold = _TripFold("t", 20.0, 150.0)
+    fold = TripFold("t", 20.0, 150.0)
     a = [step(1, 0.0)]
     fold.add(window(0, False, [option(1.0, 1, True, 9, a), option(1.0, 1, False, 9, a)]))
     c = [step(3, 0.0)]
@@ -125,3 +127,102 @@ def test_attempts_tell_why_a_window_failed(spark):
         "t2": (2, "1 pairs beyond the length limit, 1 not connected"), "t3": (1, "1 of 1 pairs have a path"),
         "t4": (0, "no pair of candidates to search between"),
     }
+
+
+def plain_routes(wins, scored, steps, points, firsts, radius=20.0, far=150.0):
+    """Routes and trace of all trips by the plain fold. ``steps``: path key -> list of (segment, entry, exit, xs, ys)."""
+    at = {(p.trip_id, p.point_idx): (p.lat, p.lon) for p in points}
+    by_window = {}
+    for p in scored:
+        if p.score is not None:
+            by_window.setdefault((p.trip_id, p.window_idx), []).append(p)
+    folds = {}
+    for w in sorted(wins, key=lambda w: (w.trip_id, w.window_idx)):
+        lat, lon = at[w.trip_id, w.start_idx]
+        end = at[w.trip_id, w.end_idx]
+        found = sorted(by_window.get((w.trip_id, w.window_idx), []), key=lambda p: (p.score, p.from_rank, p.to_rank))
+
+        def option(p, bound, w=w, end=end, lat=lat, lon=lon):
+            own = steps[w.trip_id, w.window_idx, p.from_seg, p.to_seg]
+            d_end = [(line_distance(*end, xs, ys), k, seg) for k, (seg, _, _, xs, ys) in enumerate(own)]
+            near = [x for x in d_end if x[0] <= far]
+            path = [
+                {"segment_id": seg, "entry_idx": e, "exit_idx": x, "d_start": round(line_distance(lat, lon, xs, ys), 6), "xs": xs, "ys": ys}
+                for seg, e, x, xs, ys in own
+            ]
+            return {"score": p.score, "from_rank": p.from_rank, "to_rank": p.to_rank, "from_seg": p.from_seg, "bound": bound,
+                    "end_seg": min(near)[2] if near else None, "steps": path}
+
+        bound = {}
+        for p in found:
+            if not w.is_last or p.to_rank == 1:
+                bound.setdefault(p.from_seg, p)
+        options = [option(p, True) for p in bound.values()] + ([option(found[0], False)] if found else [])
+        fold = folds.setdefault(w.trip_id, TripFold(w.trip_id, radius, far))
+        fold.add({"trip_id": w.trip_id, "window_idx": w.window_idx, "start_idx": w.start_idx, "is_last": w.is_last, "lat": lat, "lon": lon,
+                  "first_segs": firsts.get((w.trip_id, w.start_idx)), "options": options})
+    routes = [(f.trip_id, n, s["window_idx"], s["segment_id"], s["entry_idx"], s["exit_idx"]) for f in folds.values() for n, s in enumerate(f.route)]
+    names = ("window_idx", "score", "bridge", "used_constraints", "constraint_segment", "n_options", "from_seg")
+    return sorted(routes), sorted(((f.trip_id, *[t[c] for c in names]) for f in folds.values() for t in f.trace), key=str)
+
+
+def folded(spark, wins, scored, steps, points, cands):
+    routes, trace = matching.fold_windows(wins, scored, steps, points, cands, 20.0)
+    got = sorted(map(tuple, routes.collect())), sorted(map(tuple, trace.collect()), key=str)
+    lines = {}
+    for r in steps.orderBy("pos").collect():
+        lines.setdefault((r.trip_id, r.window_idx, r.from_seg, r.to_seg), []).append(
+            (r.segment_id, r.entry_idx, r.exit_idx, [c.x for c in r.line], [c.y for c in r.line])
+        )
+    firsts = {}
+    for c in cands.collect():
+        firsts.setdefault((c.trip_id, c.point_idx), []).append(c.segment_id)
+    return got, plain_routes(wins.collect(), scored.collect(), lines, points.collect(), firsts)
+
+
+def test_routes_equal_the_plain_fold(spark, inputs):
+    m = inputs.matched()
+    steps = matching.path_steps(m.paths, inputs.segments(), matching.PATH)
+    points = inputs.trip_points().join(m.windows.select("trip_id").distinct(), "trip_id")
+    got, want = folded(spark, m.windows, m.paths, steps, points, m.candidates)
+    assert got == want and len(got[0]) > 10
+    assert got[0] == sorted(map(tuple, m.routes.collect()))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_folds_of_loops_dwells_and_gaps_equal_the_plain_fold(spark, seed):
+    """Trips that turn back, stay in place, leave the roads and lose their constraint; roads form a comb of ten lines."""
+    rnd = random.Random(seed)
+    unit = 0.0004
+    line_of = {k: [(x * unit, (k % 5) * unit) for x in range(3 * (k // 5), 3 * (k // 5) + 4)] for k in range(10)}
+    rows = {"wins": [], "scored": [], "steps": [], "points": [], "cands": []}
+    for trip in ("a", "b", "c"):
+        n, x, y = 60, 2.0, 2.0
+        for p in range(n):
+            x, y = (x, y) if rnd.random() < 0.3 else (min(max(x + rnd.uniform(-1, 1.3), 0), 6), min(max(y + rnd.uniform(-1, 1), -1), 5))
+            rows["points"].append((trip, p, y * unit, x * unit))
+            near = rnd.sample(range(10), 3)
+            rows["cands"] += [(trip, p, k) for k in near]
+            if p == n - 1:
+                continue
+            rows["wins"].append((trip, p, p, p + 1, p == n - 2))
+            for rank, start in enumerate(near[: rnd.randrange(4)], 1):
+                for to_rank, end in enumerate(rnd.sample(range(10), 2), 1):
+                    score = None if rnd.random() < 0.15 else round(rnd.uniform(0, 9), 3)
+                    rows["scored"].append((trip, p, start, end, rank, to_rank, score))
+                    path = [start, *rnd.sample(range(10), rnd.randrange(3)), end]
+                    for pos, k in enumerate(path):
+                        a, b = rnd.randrange(4), rnd.randrange(4)
+                        line = line_of[k][min(a, b) : max(a, b) + 1][:: 1 if a <= b else -1]
+                        rows["steps"].append((trip, p, start, end, pos, k, a, b, [{"x": u, "y": v} for u, v in line]))
+    key = "trip_id string, window_idx long"
+    frames = {
+        "wins": f"{key}, start_idx long, end_idx long, is_last boolean",
+        "scored": f"{key}, from_seg long, to_seg long, from_rank long, to_rank long, score double",
+        "steps": f"{key}, from_seg long, to_seg long, pos int, segment_id long, entry_idx int, exit_idx int, line array<struct<x:double,y:double>>",
+        "points": "trip_id string, point_idx long, lat double, lon double",
+        "cands": "trip_id string, point_idx long, segment_id long",
+    }
+    got, want = folded(spark, *[spark.createDataFrame(rows[n], frames[n]) for n in frames])
+    assert got[1] == want[1] and got[0] == want[0]
+    assert any(t[3] for t in got[1]) and any(t[4] for t in got[1])

@@ -208,7 +208,7 @@ def test_grid_join_equals_full_search(spark):
     segs, _ = lattice(spark, 4)
     pts = spark.createDataFrame([(k, rnd.uniform(-0.001, 0.004), rnd.uniform(-0.001, 0.004)) for k in range(60)], "pid long, lat double, lon double")
     got = {(r.pid, r.segment_id): r.distance_m for r in candidates.near_segments(pts, ["pid"], segs, 60.0, 0.0004).collect()}
-    from wayloom.operators.matching import line_distance
+    from plain_fold import line_distance
 
     want = {}
     for s in segs.collect():
@@ -223,7 +223,7 @@ def test_grid_join_equals_full_search(spark):
 
 def test_radius_searches_at_all_latitudes(spark):
     """Long pieces and points up to the poles, against searches over whole segments."""
-    from wayloom.operators.matching import line_distance
+    from plain_fold import line_distance
 
     rnd = random.Random(3)
     rows, pts = [], []

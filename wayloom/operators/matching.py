@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,7 +12,6 @@ from pyspark.sql import functions as F
 from wayloom.config import MATCH, MatchConfig
 from wayloom.functions import geo, roads
 from wayloom.operators.candidates import near_segments, rank_candidates
-from wayloom.operators.movement import np_haversine
 from wayloom.operators.paths import bounded_paths, length_limit
 from wayloom.session import materialize
 
@@ -195,9 +193,10 @@ def score_parts(paths: DataFrame, steps: DataFrame, points: DataFrame, key: list
     )
 
 
-def window_options(wins: DataFrame, scored: DataFrame, steps: DataFrame, points: DataFrame, cands: DataFrame, cfg: MatchConfig) -> DataFrame:
-    """One row per window with the paths the trip fold can choose from: the best path for each
-    first segment (to the nearest end candidate in the last window) and the best of all.
+def window_choices(wins: DataFrame, scored: DataFrame, steps: DataFrame, points: DataFrame, cands: DataFrame, cfg: MatchConfig) -> DataFrame:
+    """One row per window with the paths a trip can choose from: the best path for each
+    first segment (to the nearest end candidate in the last window) and the best of all, and the segment that each
+    would bind the next window to.
 
     A constraint fixes a path's end, and the path then always holds the constrained segment, so
     the constraint term is equal for all paths a choice is made from.
@@ -208,169 +207,204 @@ def window_options(wins: DataFrame, scored: DataFrame, steps: DataFrame, points:
     bound = usable.filter(~F.col("is_last") | (F.col("to_rank") == 1)).groupBy(*WINDOW, "from_seg").agg(F.min_by(ref, order).alias("b")).select(*WINDOW, "b.*", F.lit(True).alias("bound"))
     free = usable.groupBy(*WINDOW).agg(F.min_by(ref, order).alias("b")).select(*WINDOW, "b.*", F.lit(False).alias("bound"))
     chosen = bound.unionByName(free)
-    start = wins.join(points.select("trip_id", F.col("point_idx").alias("start_idx"), "lat", "lon"), ["trip_id", "start_idx"])
     end = points.select("trip_id", F.col("point_idx").alias("end_idx"), F.col("lat").alias("end_lat"), F.col("lon").alias("end_lon"))
-    ends = start.join(end, ["trip_id", "end_idx"])
-    at = steps.join(ends.select(*WINDOW, "lat", "lon", "end_lat", "end_lon"), WINDOW).select(
-        *PATH, "pos", "segment_id", "entry_idx", "exit_idx",
-        geo.distance_to_polyline(F.col("lon"), F.col("lat"), F.col("line")).alias("d_start"),
-        geo.distance_to_polyline(F.col("end_lon"), F.col("end_lat"), F.col("line")).alias("d_end"),
-        F.transform("line", lambda c: c.x).alias("xs"), F.transform("line", lambda c: c.y).alias("ys"),
-    )
-    packed = at.join(chosen.select(*PATH).distinct(), PATH, "left_semi").groupBy(*PATH).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "segment_id", "entry_idx", "exit_idx", "d_start", "xs", "ys"))).alias("steps"),
-        F.min_by("segment_id", F.when(F.col("d_end") <= cfg.max_point_to_route_m, F.struct("d_end", "pos"))).alias("end_seg"),
+    ends = wins.join(end, ["trip_id", "end_idx"]).select(*WINDOW, "end_lat", "end_lon")
+    at = steps.join(chosen.select(*PATH).distinct(), PATH, "left_semi").join(ends, WINDOW).select(
+        *PATH, "pos", "segment_id", geo.distance_to_polyline(F.col("end_lon"), F.col("end_lat"), F.col("line")).alias("d_end")
     )
-    options = chosen.join(packed, PATH).groupBy(*WINDOW).agg(
-        F.array_sort(F.collect_list(F.struct("score", "from_rank", "to_rank", "from_seg", "bound", "end_seg", "steps"))).alias("options")
+    binds = at.filter(F.col("d_end") <= cfg.max_point_to_route_m).groupBy(*PATH).agg(F.min_by("segment_id", F.struct("d_end", "pos")).alias("end_seg"))
+    options = chosen.join(binds, PATH, "left").groupBy(*WINDOW).agg(
+        F.array_sort(F.collect_list(F.struct("score", "from_rank", "to_rank", "from_seg", "to_seg", "bound", "end_seg"))).alias("options")
     )
     firsts = cands.groupBy("trip_id", F.col("point_idx").alias("start_idx")).agg(F.collect_set("segment_id").alias("first_segs"))
     return (
-        ends.join(firsts, ["trip_id", "start_idx"], "left").join(options, WINDOW, "left")
-        .select(*WINDOW, "start_idx", "end_idx", "is_last", "lat", "lon", "first_segs", "options")
+        wins.select(*WINDOW, "start_idx", "is_last").join(firsts, ["trip_id", "start_idx"], "left").join(options, WINDOW, "left")
+        .select(*WINDOW, "start_idx", "is_last", "first_segs", "options")
     )
 
 
-def line_distance(lat: float, lon: float, xs, ys) -> float:
-    """Great-circle distance from a point to the planar closest point of a line."""
-    xs, ys = np.asarray(xs), np.asarray(ys)
-    if len(xs) == 1:
-        return float(np_haversine(lat, lon, ys[0], xs[0]))
-    ax, ay, dx, dy = xs[:-1], ys[:-1], np.diff(xs), np.diff(ys)
-    len2 = dx * dx + dy * dy
-    t = np.clip(((lon - ax) * dx + (lat - ay) * dy) / np.where(len2 > 0, len2, 1.0), 0.0, 1.0)
-    qx, qy = ax + t * dx, ay + t * dy
-    k = int(np.argmin((qx - lon) ** 2 + (qy - lat) ** 2))
-    return float(np_haversine(lat, lon, qy[k], qx[k]))
+def _by_trip(rows: DataFrame) -> DataFrame:
+    return rows.repartition("trip_id").sortWithinPartitions("trip_id", "window_idx")
 
 
-FOLD_OUT = (
-    "trip_id string, kind string, seq long, window_idx long, segment_id long, entry_idx int, exit_idx int, "
-    "score double, bridge boolean, used_constraints boolean, constraint_segment long, n_options int, from_seg long"
+TAKEN = (
+    "trip_id string, window_idx long, start_idx long, is_last boolean, from_seg long, to_seg long, score double, "
+    "bridge boolean, used_constraints boolean, constraint_segment long, n_options int"
 )
 
 
-class _TripFold:
-    """Route of one trip while its windows arrive in order."""
-
-    def __init__(self, trip_id: str, radius: float, far: float):
-        self.trip_id, self.radius, self.far = trip_id, radius, far
-        self.route: list[dict] = []
-        self.fixed: int | None = None
-        self.trace: list[dict] = []
-
-    def add(self, w: dict) -> None:
-        options = w["options"] or []
-        bound = [o for o in options if o["bound"]]
-        free = next((o for o in options if not o["bound"]), None)
-        fixed, constrained = self.fixed, self.fixed is not None or w["is_last"]
-        if fixed is not None and fixed in (w["first_segs"] or []):
-            choice = [o for o in bound if o["from_seg"] == fixed]
-        elif fixed is None or w["is_last"]:
-            choice = bound
-        else:
-            choice = []
-        best = choice[0] if choice else None
-        bridge = best is None
-        taken = best if best is not None else free
-        path = [dict(s, window_idx=w["window_idx"]) for s in taken["steps"]] if taken else []
-        if bridge and self.route and w["start_idx"] > 0 and self._bridge(w, path):
-            pass
-        else:
-            self._fuse(w, path)
-        if path:
-            self.fixed = taken["end_seg"]
-        else:
-            self.fixed = None
-        self.trace.append({
-            "trip_id": self.trip_id, "kind": "trace", "seq": None, "window_idx": w["window_idx"],
-            "segment_id": None, "entry_idx": None, "exit_idx": None,
-            "score": taken["score"] if taken else None, "bridge": bridge,
-            "used_constraints": constrained and not bridge, "constraint_segment": fixed,
-            "n_options": len(bound), "from_seg": taken["from_seg"] if taken else None,
-        })
-
-    def _route_distance(self, w: dict) -> list[float]:
-        return [line_distance(w["lat"], w["lon"], s["xs"], s["ys"]) for s in self.route]
-
-    def _bridge(self, w: dict, path: list[dict]) -> bool:
-        d = self._route_distance(w)
-        k = int(np.argmin(d))
-        if d[k] > self.far:
-            return False
-        self.route[k:] = path
-        return True
-
-    def _fuse(self, w: dict, path: list[dict]) -> None:
-        """Join a window's path to the route at the window's first point."""
+def choose_paths(choices: DataFrame) -> DataFrame:
+    """The path each window takes. A window must go on from the segment that the one before ended
+    on; where none can, it takes its best path as a bridge.
+
+    What one window hands to the next is a segment id, so trips are walked in order over rows of a few options each.
+    """
+    names = TAKEN.split(", ")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trip, fixed = None, None
+        for batch in batches:
+            out = []
+            for w in batch.to_pylist():
+                if w["trip_id"] != trip:
+                    trip, fixed = w["trip_id"], None
+                options = w["options"] or []
+                bound = [o for o in options if o["bound"]]
+                if fixed is not None and fixed in (w["first_segs"] or []):
+                    choice = [o for o in bound if o["from_seg"] == fixed]
+                else:
+                    choice = bound if fixed is None or w["is_last"] else []
+                bridge = not choice
+                taken = choice[0] if choice else next((o for o in options if not o["bound"]), None)
+                of = taken or dict.fromkeys(("from_seg", "to_seg", "score", "end_seg"))
+                constrained = not bridge and (fixed is not None or w["is_last"])
+                out.append((
+                    trip, w["window_idx"], w["start_idx"], w["is_last"], of["from_seg"], of["to_seg"], of["score"],
+                    bridge, constrained, fixed, len(bound),
+                ))
+                fixed = of["end_seg"]
+            yield pa.RecordBatch.from_pylist([dict(zip((n.split(" ")[0] for n in names), r)) for r in out], schema=schema)
+
+    kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "int": pa.int32()}
+    schema = pa.schema([(n.split(" ")[0], kinds[n.split(" ")[1]]) for n in names])
+    return _by_trip(choices).mapInArrow(run, TAKEN)
+
+
+def line_id(segment: str = "segment_id", entry: str = "entry_idx", exit_: str = "exit_idx") -> Column:
+    """Name of a travelled part of a segment."""
+    return F.concat_ws(":", segment, entry, exit_)
+
+
+def near_lines(taken: DataFrame, taken_steps: DataFrame, points: DataFrame, radius_m: float, cfg: MatchConfig) -> DataFrame:
+    """Distances from each window's first point to the travelled parts of its trip: those within the radius, and for
+    bridges within the limit of a point to its route. Distances equal to a micrometer count as equal.
+
+    Each part is met once, however many trips and windows travel it, so that time spent in one place makes no pairs of
+    windows.
+    """
+    lines = taken_steps.groupBy(line_id().alias("segment_id")).agg(F.first("line").alias("line"))
+    # A part of one vertex is a line from it to itself.
+    lines = materialize(
+        lines.select("segment_id", F.when(F.size("line") == 1, F.concat("line", "line")).otherwise(F.col("line")).alias("coordinates")), "lines"
+    )
+    starts = taken.select(*WINDOW, "start_idx", "bridge").join(
+        points.select("trip_id", F.col("point_idx").alias("start_idx"), "lat", "lon"), ["trip_id", "start_idx"]
+    )
+    starts = materialize(starts.drop("start_idx"), "starts")
+    near = near_segments(starts.filter(~F.col("bridge")), WINDOW, lines, radius_m, cfg.cell_deg)
+    far = near_segments(starts.filter("bridge"), WINDOW, lines, max(radius_m, cfg.max_point_to_route_m), cfg.cell_deg)
+    both = near.unionByName(far).select(*WINDOW, F.col("segment_id").alias("line"), F.round("distance_m", 6).alias("d"))
+    own = taken_steps.select("trip_id", line_id().alias("line")).distinct()
+    return both.join(own, ["trip_id", "line"], "left_semi")
+
+
+class _Route:
+    """Steps of a route, and where in it each travelled part occurs."""
+
+    def __init__(self) -> None:
+        self.steps: list[tuple] = []
+        self.places: dict[str, list[int]] = {}
+
+    def extend(self, steps: list[tuple]) -> None:
+        for step in steps:
+            self.places.setdefault(step[0], []).append(len(self.steps))
+            self.steps.append(step)
+
+    def cut(self, length: int) -> None:
+        while len(self.steps) > length:
+            self.places[self.steps.pop()[0]].pop()
+
+    def nearest(self, near: list[tuple[float, str]], limit: float, last: bool) -> int | None:
+        """Place of the nearest step within the limit; of equally near ones the last or the first."""
+        held = [(d, self.places[name]) for d, name in near if d <= limit and self.places.get(name)]
+        if not held:
+            return None
+        least = min(d for d, _ in held)
+        places = [p[-1] if last else p[0] for d, p in held if d == least]
+        return max(places) if last else min(places)
+
+    def add(self, w: dict, path: list[tuple], near: list[tuple[float, str]], radius: float, far: float) -> None:
+        """Join a window's path (line, window, segment, entry, exit, distance to the window's first point)."""
+        if w["bridge"] and self.steps and w["start_idx"] > 0:
+            at = self.nearest(near, far, last=False)
+            if at is not None:
+                self.cut(at)
+                self.extend(path)
+                return
         if not path:
             return
-        near = [s["d_start"] <= self.radius for s in path]
-        if not self.route:
+        at_start = [s[5] <= radius for s in path]
+        if not self.steps:
             # Later windows cover the rest; keep what lies at the first point.
-            self.route = path if w["is_last"] else [s for s, ok in zip(path, near) if ok]
+            self.extend(path if w["is_last"] else [s for s, ok in zip(path, at_start) if ok])
             return
-        on_route = self._route_distance(w)[::-1]
-        k = int(np.argmin(on_route))
-        if on_route[k] > self.radius:
-            last = self.route[-1]["segment_id"]
-            ids = [s["segment_id"] for s in path]
-            self.route += path[ids.index(last) + 1 :] if last in ids else path
+        at = self.nearest(near, radius, last=True)
+        if at is None:
+            ids, before = [s[2] for s in path], self.steps[-1][2]
+            self.extend(path[ids.index(before) + 1 :] if before in ids else path)
             return
-        del self.route[len(self.route) - k :]
-        in_path = [s["d_start"] for s in path]
-        j = int(np.argmin(in_path))
-        if in_path[j] > self.radius:
-            same = path[0]["segment_id"] == self.route[-1]["segment_id"]
-            self.route += path[1:] if same else path
+        self.cut(at + 1)
+        j = min(range(len(path)), key=lambda k: path[k][5])
+        if path[j][5] > radius:
+            self.extend(path[1:] if path[0][2] == self.steps[-1][2] else path)
             return
         stop = len(path)
         if not w["is_last"]:
-            stop = next((n + 1 for n in range(j + 1, len(path)) if near[n]), len(path))
-        self.route += path[j + 1 : stop]
-
-    def rows(self) -> list[dict]:
-        empty = {"score": None, "bridge": None, "used_constraints": None, "constraint_segment": None, "n_options": None, "from_seg": None}
-        out = [
-            {
-                "trip_id": self.trip_id, "kind": "route", "seq": n, "window_idx": s["window_idx"],
-                "segment_id": s["segment_id"], "entry_idx": s["entry_idx"], "exit_idx": s["exit_idx"], **empty,
-            }
-            for n, s in enumerate(self.route)
-        ]
-        return out + self.trace
-
-
-def fold_windows(options: DataFrame, radius_m: float, cfg: MatchConfig = MATCH) -> DataFrame:
-    """Walk each trip's windows in order and join their paths into one route.
-
-    Trips are spread by hash; the rows of a task are streamed in order and only the current
-    trip's route is held. Everything costly (paths, scores, choices) is already computed.
+            stop = next((n + 1 for n in range(j + 1, len(path)) if at_start[n]), len(path))
+        self.extend(path[j + 1 : stop])
+
+
+def fold_windows(
+    wins: DataFrame, scored: DataFrame, steps: DataFrame, points: DataFrame, cands: DataFrame, radius_m: float, cfg: MatchConfig = MATCH
+) -> tuple[DataFrame, DataFrame]:
+    """Routes (trip_id, seq, window_idx, segment_id, entry_idx, exit_idx) and the trace of all windows.
+
+    All geometry is Spark's: distances of a window's first point to its own path's steps and to the trip's other travelled parts
+    are joins over windows, spread over tasks. What is walked in order per trip are names and
+    distances; a step is added and cut once, and a window looks only at the parts near it, so a trip takes time linear in
+    its windows. A task holds the route of one trip as names.
     """
+    taken = materialize(choose_paths(window_choices(wins, scored, steps, points, cands, cfg)), "taken")
+    start = points.select("trip_id", F.col("point_idx").alias("start_idx"), "lat", "lon")
+    path = taken.filter("from_seg IS NOT NULL").select(*PATH, "start_idx").join(start, ["trip_id", "start_idx"])
+    d_start = F.round(geo.distance_to_polyline(F.col("lon"), F.col("lat"), F.col("line")), 6)
+    taken_steps = steps.join(path, PATH).select(*WINDOW, "pos", "segment_id", "entry_idx", "exit_idx", "line", d_start.alias("d"))
+    taken_steps = materialize(taken_steps, "taken_steps")
+    near = near_lines(taken, taken_steps, points, radius_m, cfg)
+    paths = taken_steps.groupBy(*WINDOW).agg(
+        F.array_sort(F.collect_list(F.struct("pos", line_id().alias("line"), "segment_id", "entry_idx", "exit_idx", "d"))).alias("path")
+    )
+    nearby = near.groupBy(*WINDOW).agg(F.array_sort(F.collect_list(F.struct("d", "line"))).alias("near"))
+    rows = taken.select(*WINDOW, "start_idx", "is_last", "bridge").join(paths, WINDOW, "left").join(nearby, WINDOW, "left")
     far = cfg.max_point_to_route_m
     schema = pa.schema([
-        ("trip_id", pa.string()), ("kind", pa.string()), ("seq", pa.int64()), ("window_idx", pa.int64()),
-        ("segment_id", pa.int64()), ("entry_idx", pa.int32()), ("exit_idx", pa.int32()), ("score", pa.float64()),
-        ("bridge", pa.bool_()), ("used_constraints", pa.bool_()), ("constraint_segment", pa.int64()),
-        ("n_options", pa.int32()), ("from_seg", pa.int64()),
+        ("trip_id", pa.string()), ("seq", pa.int64()), ("window_idx", pa.int64()), ("segment_id", pa.int64()),
+        ("entry_idx", pa.int32()), ("exit_idx", pa.int32()),
     ])
 
+    def done(trip: str, route: _Route) -> pa.RecordBatch:
+        columns = list(zip(*[s[1:5] for s in route.steps])) or [[]] * 4
+        n = len(route.steps)
+        arrays = [pa.array([trip] * n, pa.string()), pa.array(range(n), pa.int64())]
+        arrays += [pa.array(c, schema.field(k + 2).type) for k, c in enumerate(columns)]
+        return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trip = None
+        trip, route = None, _Route()
         for batch in batches:
-            out: list[dict] = []
-            for row in batch.to_pylist():
-                if trip is None or row["trip_id"] != trip.trip_id:
+            for w in batch.to_pylist():
+                if w["trip_id"] != trip:
                     if trip is not None:
-                        out += trip.rows()
-                    trip = _TripFold(row["trip_id"], radius_m, far)
-                trip.add(row)
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
+                        yield done(trip, route)
+                    trip, route = w["trip_id"], _Route()
+                own = [(s["line"], w["window_idx"], s["segment_id"], s["entry_idx"], s["exit_idx"], s["d"]) for s in w["path"] or []]
+                route.add(w, own, [(x["d"], x["line"]) for x in w["near"] or []], radius_m, far)
         if trip is not None:
-            yield pa.RecordBatch.from_pylist(trip.rows(), schema=schema)
+            yield done(trip, route)
 
-    return options.repartition("trip_id").sortWithinPartitions("trip_id", "window_idx").mapInArrow(run, FOLD_OUT)
+    routes = _by_trip(rows).mapInArrow(run, "trip_id string, seq long, window_idx long, segment_id long, entry_idx int, exit_idx int")
+    trace = taken.select(*WINDOW, "score", "bridge", "used_constraints", "constraint_segment", "n_options", "from_seg")
+    return routes, trace
 
 
 def match_trips(points: DataFrame, net: Network, cfg: MatchConfig = MATCH, radius_m: float | None = None, timed: bool = True, near_point_bonus: bool = True) -> Matched:
@@ -391,11 +425,8 @@ def match_trips(points: DataFrame, net: Network, cfg: MatchConfig = MATCH, radiu
     paths = materialize(window_paths(searches, targets, net, near_counts if near_point_bonus else None, cfg), "paths")
     steps = materialize(path_steps(paths, net.segments, PATH), "steps")
     scored = materialize(score_parts(paths, steps, window_points(wins, kept), PATH, cfg), "scored")
-    folded = materialize(fold_windows(window_options(wins, scored, steps, kept, cands, cfg), r, cfg), "folded")
-    routes = folded.filter("kind = 'route'").select("trip_id", "seq", "window_idx", "segment_id", "entry_idx", "exit_idx")
-    trace = folded.filter("kind = 'trace'").select(
-        *WINDOW, "score", "bridge", "used_constraints", "constraint_segment", "n_options", "from_seg"
-    )
+    routes, trace = fold_windows(wins, scored, steps, kept, cands, r, cfg)
+    routes = materialize(routes, "routes")
     has_route = routes.select("trip_id").distinct().withColumn("_r", F.lit(True))
     status = trips.join(has_route, "trip_id", "left").select(
         "trip_id",
