@@ -290,7 +290,7 @@ def test_nearby_ends_and_crossings(spark):
     assert [(r.a_id, r.b_id) for r in network.line_intersections(segs).collect()] == [(1, 3)]
     asked = spark.createDataFrame([(1, 2), (1, 3)], "a_id long, b_id long")
     reasons = {r.b_id: r.reason for r in network.connectivity_verdicts(asked, segs).collect()}
-    assert reasons[2].startswith("End point of #1 is close to start point of #2") and reasons[3] == "Lines geometrically intersect"
+    assert reasons[2].startswith("gap end-start 0.") and reasons[3] == "crossing"
 
 
 def test_brute_helper_distance():

@@ -139,71 +139,36 @@ def connection_verdict(a: dict[str, Column], b: dict[str, Column]) -> Column:
     """May two segments connect, and do they? ``struct<compatible, connects, reason>``.
 
     ``a`` and ``b`` hold the columns id, layer, bridge, tunnel, highway, nodes and the four
-    end coordinates; ``b['intersects']`` says whether the lines meet.
+    end coordinates; ``b['intersects']`` says whether the lines meet. The reason is a code with the values that decide, in
+    the order of the two segments: ``layer 0|1``, ``bridge true|false``, ``tunnel true|false``, ``class primary|service``,
+    ``node 5,7 at ends`` or ``node 5,7 inside``, ``gap start-end 0.42`` (meters, two decimals), ``crossing``, ``apart``.
     """
     from wayloom.functions.geo import haversine
 
-    def verdict(ok: bool, yes: bool, reason: Column) -> Column:
-        return F.struct(
-            F.lit(ok).alias("compatible"), F.lit(yes).alias("connects"), reason.alias("reason")
-        )
-
-    def mismatch(kind: str) -> Column:
-        def side(s):
-            word = F.when(s[kind], F.lit("")).otherwise(F.lit("not "))
-            return F.concat(s["id"].cast("string"), F.lit(" is "), word, F.lit(f"a {kind}"))
-
-        return F.concat(F.lit(f"{kind.capitalize()} mismatch: "), side(a), F.lit(", "), side(b))
-
-    shared = F.array_intersect(a["nodes"], b["nodes"])
-
-    def at_end(s):
-        return F.array_contains(shared, F.element_at(s["nodes"], 1)) | F.array_contains(
-            shared, F.element_at(s["nodes"], -1)
-        )
-
-    place = F.when(at_end(a) & at_end(b), F.lit(" (shared endpoint nodes)")).otherwise(
-        F.lit(" (shared intermediate nodes)")
-    )
-    shared_text = F.concat(
-        F.lit("They share "), F.size(shared).cast("string"), F.lit(" node(s): ["),
-        F.array_join(shared.cast("array<string>"), ", "), F.lit("]"), place,
-    )
-
-    def gap(p, q):
-        return haversine(a[f"{p}_y"], a[f"{p}_x"], b[f"{q}_y"], b[f"{q}_x"])
-
-    def close(p, q, text):
-        return F.format_string(text + " (%.2fm)", gap(p, q))
-
-    return (
-        F.when(
-            a["layer"] != b["layer"],
-            verdict(False, False, F.concat(
-                F.lit("Segments are on different layers: "), a["layer"].cast("string"),
-                F.lit(" vs "), b["layer"].cast("string"))),
-        )
-        .when(a["bridge"] != b["bridge"], verdict(False, False, mismatch("bridge")))
-        .when(a["tunnel"] != b["tunnel"], verdict(False, False, mismatch("tunnel")))
-        .when(
-            ~types_compatible(a["highway"], b["highway"]),
-            verdict(False, False, F.concat(
-                F.lit("Incompatible road types: "), a["highway"], F.lit(" ("),
-                a["id"].cast("string"), F.lit(") and "), b["highway"], F.lit(" ("),
-                b["id"].cast("string"), F.lit(")"))),
-        )
-        .when(F.size(shared) > 0, verdict(True, True, shared_text))
-        .when(gap("first", "first") < 1.0,
-              verdict(True, True, close("first", "first", "Start points are very close")))
-        .when(gap("first", "last") < 1.0,
-              verdict(True, True, close("first", "last", "Start point of #1 is close to end point of #2")))
-        .when(gap("last", "first") < 1.0,
-              verdict(True, True, close("last", "first", "End point of #1 is close to start point of #2")))
-        .when(gap("last", "last") < 1.0,
-              verdict(True, True, close("last", "last", "End points are very close")))
-        .when(b["intersects"], verdict(True, True, F.lit("Lines geometrically intersect")))
-        .otherwise(verdict(True, False, F.lit("No connection criteria met")))
-    )
+    def verdict(may: bool, does: bool, code: str, *values: Column) -> Column:
+        reason = F.concat_ws(" ", F.lit(code), *values)
+        return F.struct(F.lit(may).alias("compatible"), F.lit(does).alias("connects"), reason.alias("reason"))
+
+    def both(name: str) -> Column:
+        return F.concat_ws("|", a[name].cast("string"), b[name].cast("string"))
+
+    common = F.array_intersect(a["nodes"], b["nodes"])
+
+    def meets_end(side: dict[str, Column]) -> Column:
+        return F.arrays_overlap(common, F.array(F.element_at(side["nodes"], 1), F.element_at(side["nodes"], -1)))
+
+    nodes = F.array_join(common.cast("array<string>"), ",")
+    where = F.when(meets_end(a) & meets_end(b), "at ends").otherwise("inside")
+    out = F.when(~types_compatible(a["highway"], b["highway"]), verdict(False, False, "class", both("highway")))
+    out = out.when(F.size(common) > 0, verdict(True, True, "node", nodes, where))
+    words = {"first": "start", "last": "end"}
+    for p, q in (("first", "first"), ("first", "last"), ("last", "first"), ("last", "last")):
+        gap = haversine(a[f"{p}_y"], a[f"{p}_x"], b[f"{q}_y"], b[f"{q}_x"])
+        out = out.when(gap < 1.0, verdict(True, True, f"gap {words[p]}-{words[q]}", F.format_string("%.2f", gap)))
+    out = out.when(b["intersects"], verdict(True, True, "crossing")).otherwise(verdict(True, False, "apart"))
+    for name in ("tunnel", "bridge", "layer"):
+        out = F.when(a[name] != b[name], verdict(False, False, name, both(name))).otherwise(out)
+    return out
 
 
 def connection_node(nodes_a: Column, nodes_b: Column, a_to_b: Column, b_to_a: Column) -> Column:

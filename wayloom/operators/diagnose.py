@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from wayloom.config import METERS_PER_DEGREE
 from wayloom.functions import geo, roads
+from wayloom.operators import reach
 from wayloom.operators.matching import WINDOW
+from wayloom.session import materialize
 
 PAIR = [*WINDOW, "from_seg", "to_seg"]
 
@@ -40,22 +42,18 @@ def candidate_pairs(candidates: DataFrame, windows: DataFrame, segs: DataFrame,
 
 def path_attempts(candidates: DataFrame, windows: DataFrame, paths: DataFrame, segs: DataFrame, transitions: DataFrame, top: int | None = None) -> DataFrame:
     """Every candidate pair of every window with the outcome of its search: "success"; "no_connection"
-    where no road leaves the first segment or enters the last; else "too_far", since a search ends
-    without a path only when its length limit leaves nothing to try."""
-    leaves = transitions.select(F.col("src").alias("from_seg")).distinct().withColumn("_leaves", F.lit(True))
-    enters = transitions.select(F.col("dst").alias("to_seg")).distinct().withColumn("_enters", F.lit(True))
+    where no way leads from the first segment, entered at its candidate's vertex, to the last, however long; else "too_far": a way
+    exists, but not within the length limit."""
+    pairs = materialize(candidate_pairs(candidates, windows, segs, top), "attempts")
     found = paths.select(*PAIR, "cost", F.size("path").alias("n_steps"))
-    result = (
-        F.when(F.col("cost").isNotNull(), "success")
-        .when(F.col("_leaves").isNull() | F.col("_enters").isNull(), "no_connection")
-        .otherwise("too_far")
-    )
-    return (
-        candidate_pairs(candidates, windows, segs, top)
-        .join(found, PAIR, "left")
-        .join(leaves, "from_seg", "left").join(enters, "to_seg", "left")
-        .select(*PAIR, "from_way", "to_way", "distance_m", "cost", "n_steps", result.alias("result"))
-    )
+    entry = F.col("vertex_idx") if "vertex_idx" in candidates.columns else F.lit(0)
+    entries = candidates.select("trip_id", F.col("point_idx").alias("start_idx"), F.col("segment_id").alias("from_seg"), entry.cast("int").alias("from_entry"))
+    tried = pairs.join(found, PAIR, "left").join(windows.select(*WINDOW, "start_idx"), WINDOW)
+    tried = materialize(tried.join(entries, ["trip_id", "start_idx", "from_seg"]).drop("start_idx"), "attempts")
+    asked = ["from_seg", "from_entry", "to_seg"]
+    ways = reach.search_reach(tried.filter("cost IS NULL").select(asked).distinct(), transitions).withColumn("_way", F.lit(True))
+    result = F.when(F.col("cost").isNotNull(), "success").when(F.col("_way"), "too_far").otherwise("no_connection")
+    return tried.join(ways, asked, "left").select(*PAIR, "from_way", "to_way", "distance_m", "cost", "n_steps", result.alias("result"))
 
 
 def attempt_summary(attempts: DataFrame, windows: DataFrame) -> DataFrame:
@@ -135,9 +133,9 @@ def way_expectations(expected: DataFrame, candidates: DataFrame, chosen_ways: Da
     path = chosen_ways.select(*key, "path_ways")
     hit = roads.contains_run(F.coalesce("path_ways", F.array().cast("array<bigint>")), F.col("way_ids"))
     outcome = (
-        F.when(~F.col("all_found") & ~F.col("is_subsequence"), "SEQUENCE NOT CONSIDERED")
-        .when(hit, "SUCCESS")
-        .otherwise("SEQUENCE NOT MATCHED")
+        F.when(~F.col("all_found") & ~F.col("is_subsequence"), "no_candidate")
+        .when(hit, "taken")
+        .otherwise("not_taken")
     )
     checked = expected.join(per, key).join(path, key, "left").withColumn("outcome", outcome)
     return checked.select(

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from wayloom.config import MATCH, MatchConfig
 from wayloom.functions import geo, roads
+from wayloom.operators import reach
 from wayloom.session import cut_lineage, materialize, scratch_path
 
 
@@ -329,7 +330,9 @@ def _unknown(new: DataFrame, known: DataFrame) -> DataFrame:
 
 def direct_routes(pairs: DataFrame, segs: DataFrame, transitions: DataFrame, cfg: MatchConfig = MATCH) -> DataFrame:
     """Routes between segment pairs (from_seg, to_seg), first vertex to first vertex, at most
-    three times the straight line and never below two kilometers of limit."""
+    three times the straight line and never below two kilometers of limit, with a verdict: ``outcome`` is ``found``,
+    ``too_far`` (a way exists, but not within the limit) or ``no_connection``; whether one move leads from the
+    first to the second; and how many segments can be moved to from the first, and to the second."""
     mid = segs.select("segment_id", geo.ends_midpoint(F.col("coordinates")).alias("m"), geo.polyline_length(F.col("coordinates")).alias("len"))
     f = mid.select(F.col("segment_id").alias("from_seg"), F.col("m").alias("fm"), F.col("len").alias("f_len"))
     t = mid.select(F.col("segment_id").alias("to_seg"), F.col("m").alias("tm"), F.col("len").alias("t_len"))
@@ -350,8 +353,21 @@ def direct_routes(pairs: DataFrame, segs: DataFrame, transitions: DataFrame, cfg
     searches = searches.withColumn("start_seg", F.col("from_seg"))
     targets = targets.withColumnRenamed("from_seg", "start_seg")
     paths = bounded_paths(searches, targets, ["start_seg", "goal_seg"], transitions, cfg=cfg)
-    return full.select("from_seg", "to_seg", "direct_m", "limit_m").join(
-        paths.select(F.col("start_seg").alias("from_seg"), F.col("goal_seg").alias("to_seg"), "cost", "length_m", "path"),
-        ["from_seg", "to_seg"],
-        "left",
-    )
+    paths = paths.select(F.col("start_seg").alias("from_seg"), F.col("goal_seg").alias("to_seg"), "cost", "length_m", "path")
+    routes = materialize(full.select("from_seg", "to_seg", "direct_m", "limit_m").join(paths, ["from_seg", "to_seg"], "left"), "direct")
+    missing = routes.filter("cost IS NULL").select("from_seg", F.lit(0).alias("from_entry"), "to_seg")
+    ways = reach.search_reach(missing, transitions).select("from_seg", "to_seg", F.lit(True).alias("_way"))
+    degree = transitions.select("src", "dst").distinct()
+    out = degree.groupBy(F.col("src").alias("from_seg")).agg(F.count(F.lit(1)).alias("n_out"))
+    into = degree.groupBy(F.col("dst").alias("to_seg")).agg(F.count(F.lit(1)).alias("n_in"))
+    direct = degree.select(F.col("src").alias("from_seg"), F.col("dst").alias("to_seg"), F.lit(True).alias("_direct"))
+    outcome = F.when(F.col("cost").isNotNull(), "found").when(F.col("_way"), "too_far").otherwise("no_connection")
+    zero = F.lit(0).cast("long")
+    return (
+        routes.join(ways, ["from_seg", "to_seg"], "left").join(out, "from_seg", "left").join(into, "to_seg", "left")
+        .join(direct, ["from_seg", "to_seg"], "left")
+        .select(
+            *routes.columns, outcome.alias("outcome"), F.coalesce("_direct", F.lit(False)).alias("directly_connected"),
+            F.coalesce("n_out", zero).alias("n_out"), F.coalesce("n_in", zero).alias("n_in"),
+        )
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayloom.operators import candidates, matching, paths, planner
+from wayloom.operators import candidates, matching, paths, planner, reach
 from wayloom.plans.oracle import hav, with_ctes
 from wayloom.plans.registry import query
 
@@ -174,12 +174,73 @@ def bounded_paths(i):
 @query("direct_route")
 def direct_route(i):
     """Direct routes between the best candidates of neighboring trip points."""
+    pairs = neighbor_pairs(i)
+    return paths.direct_routes(pairs, i.segments(), i.transitions()).select(
+        "from_seg", "to_seg", F.round("direct_m", 3).alias("direct_m"), F.round("limit_m", 3).alias("limit_m"), "cost", "length_m", F.size("path").alias("n_steps"),
+        "outcome", "directly_connected", "n_out", "n_in",
+    )
+
+
+def neighbor_pairs(i):
+    """Best segments of neighboring trip points."""
     best = i.candidates().filter("rank = 1").select("trip_id", "point_idx", "segment_id")
     nxt = best.select("trip_id", (F.col("point_idx") - 1).alias("point_idx"), F.col("segment_id").alias("to_seg"))
-    pairs = best.withColumnRenamed("segment_id", "from_seg").join(nxt, ["trip_id", "point_idx"]).select("from_seg", "to_seg").distinct()
-    return paths.direct_routes(pairs, i.segments(), i.transitions()).select(
-        "from_seg", "to_seg", F.round("direct_m", 3).alias("direct_m"), F.round("limit_m", 3).alias("limit_m"), "cost", "length_m", F.size("path").alias("n_steps")
-    )
+    return best.withColumnRenamed("segment_id", "from_seg").join(nxt, ["trip_id", "point_idx"]).select("from_seg", "to_seg").distinct()
+
+
+NEIGHBORS = "SELECT DISTINCT a.segment_id AS from_seg, b.segment_id AS to_seg FROM cand a JOIN cand b ON b.trip_id=a.trip_id AND b.point_idx=a.point_idx+1 WHERE a.rank=1 AND b.rank=1"
+TRANS = """SELECT e.src, s.idx AS exit_idx, s.is_oneway AS src_oneway, e.dst, o.idx AS entry_idx, o.is_oneway AS dst_oneway
+FROM edges e JOIN (SELECT DISTINCT src, dst FROM allconn) c ON c.src=e.src AND c.dst=e.dst JOIN sn s ON s.segment_id=e.src JOIN sn o ON o.segment_id=e.dst AND o.node_id=s.node_id
+WHERE NOT (o.is_oneway AND o.idx=o.last_idx)"""
+
+
+def _recursive(views: str, body: str) -> str:
+    """Shared views that ``views`` needs, followed by recursive ones and the query in ``body``."""
+    inner = with_ctes(views, TRIP_NEAR)[len("WITH ") :]
+    return f"WITH RECURSIVE {inner[: inner.rindex(views) - 1]},\n{body}"
+
+
+@query(
+    "search_reach",
+    _recursive(
+        "SELECT 1 FROM edges, allconn, sn, cand",
+        f"""trans AS MATERIALIZED ({TRANS}),
+ask AS MATERIALIZED ({NEIGHBORS}),
+walk AS (
+ SELECT DISTINCT from_seg, from_seg AS seg, CAST(0 AS BIGINT) AS entry, false AS moved FROM ask
+ UNION
+ SELECT w.from_seg, t.dst, CASE WHEN t.dst_oneway THEN t.entry_idx ELSE 0 END, true FROM walk w JOIN trans t ON t.src=w.seg AND (NOT t.src_oneway OR t.exit_idx>=w.entry))
+SELECT a.from_seg, a.to_seg, EXISTS (SELECT 1 FROM walk w WHERE w.moved AND w.from_seg=a.from_seg AND w.seg=a.to_seg) AS reached FROM ask a""",
+    ),
+)
+def search_reach(i):
+    """Between which neighboring segments any way exists."""
+    pairs = neighbor_pairs(i).withColumn("from_entry", F.lit(0))
+    ways = reach.search_reach(pairs, i.transitions()).select("from_seg", "to_seg", F.lit(True).alias("_r"))
+    return pairs.join(ways, ["from_seg", "to_seg"], "left").select("from_seg", "to_seg", F.coalesce("_r", F.lit(False)).alias("reached"))
+
+
+@query(
+    "hop_paths",
+    _recursive(
+        "SELECT 1 FROM edges, cand",
+        """ask AS MATERIALIZED (SELECT DISTINCT a.segment_id AS from_seg, b.segment_id AS to_seg FROM cand a JOIN cand b ON b.trip_id=a.trip_id AND b.point_idx=a.point_idx+1 WHERE a.rank<=3 AND b.rank<=3),
+walk AS (
+ SELECT DISTINCT from_seg, from_seg AS seg, 0 AS hops, [from_seg] AS path FROM ask
+ UNION ALL
+ SELECT w.from_seg, e.dst, w.hops+1, min(list_append(w.path, e.dst)) FROM walk w JOIN edges e ON e.src=w.seg WHERE w.hops<5 GROUP BY w.from_seg, e.dst, w.hops),
+best AS (SELECT from_seg, seg, min(hops) AS hops, arg_min(path, hops) AS path FROM walk GROUP BY 1,2),
+every AS (SELECT DISTINCT from_seg, from_seg AS seg FROM ask UNION SELECT w.from_seg, e.dst FROM every w JOIN edges e ON e.src=w.seg)
+SELECT a.from_seg, a.to_seg, b.hops, array_to_string(b.path, ',') AS path, CASE WHEN b.hops=0 THEN 'same' WHEN b.hops IS NOT NULL THEN 'path' WHEN y.seg IS NOT NULL THEN 'beyond_limit' ELSE 'no_path' END AS outcome
+FROM ask a LEFT JOIN best b ON b.from_seg=a.from_seg AND b.seg=a.to_seg LEFT JOIN every y ON y.from_seg=a.from_seg AND y.seg=a.to_seg""",
+    ),
+)
+def hop_paths(i):
+    """Fewest hops, path and outcome between the three best candidates of neighboring points."""
+    c = i.candidates().filter("rank <= 3").select("trip_id", "point_idx", "segment_id")
+    nxt = c.select("trip_id", (F.col("point_idx") - 1).alias("point_idx"), F.col("segment_id").alias("to_seg"))
+    pairs = c.withColumnRenamed("segment_id", "from_seg").join(nxt, ["trip_id", "point_idx"])
+    return reach.hop_paths(pairs, i.edges()).withColumn("path", F.array_join("path", ","))
 
 
 # Two-step stand-in paths over whole segments: best candidates of the window's two points.

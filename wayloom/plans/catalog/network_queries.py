@@ -252,12 +252,13 @@ def endpoint_near(i):
 @query(
     "connectivity_verdict",
     with_ctes(
-        f"""SELECT x.a_id, x.b_id, CASE WHEN a.layer<>b.layer THEN concat('Segments are on different layers: ', a.layer, ' vs ', b.layer)
- WHEN a.is_bridge<>b.is_bridge THEN 'bridge'
- WHEN abs(ga.g-gb.g)>2 THEN concat('Incompatible road types: ', a.highway, ' (', a.segment_id, ') and ', b.highway, ' (', b.segment_id, ')')
- WHEN len(list_intersect(a.nodes,b.nodes))>0 THEN concat('They share ', len(list_intersect(a.nodes,b.nodes)), ' node(s): [', array_to_string(list_filter(a.nodes, lambda n: list_contains(b.nodes,n)), ', '), ']',
-  CASE WHEN len(list_filter(a.nodes, lambda n: list_contains(b.nodes,n) AND (n=a.nodes[1] OR n=a.nodes[-1])))>0 AND len(list_filter(a.nodes, lambda n: list_contains(b.nodes,n) AND (n=b.nodes[1] OR n=b.nodes[-1])))>0 THEN ' (shared endpoint nodes)' ELSE ' (shared intermediate nodes)' END)
- ELSE 'other' END AS reason, a.layer=b.layer AND a.is_bridge=b.is_bridge AND abs(ga.g-gb.g)<=2 AS compatible
+        f"""SELECT x.a_id, x.b_id, CASE WHEN a.layer<>b.layer THEN concat('layer ', a.layer, '|', b.layer) WHEN a.is_bridge<>b.is_bridge THEN concat('bridge ', a.is_bridge, '|', b.is_bridge)
+ WHEN abs(ga.g-gb.g)>2 THEN concat('class ', a.highway, '|', b.highway)
+ WHEN len(list_intersect(a.nodes,b.nodes))>0 THEN concat('node ', array_to_string(list_filter(a.nodes, lambda n: list_contains(b.nodes,n)), ','), CASE WHEN
+  len(list_filter(a.nodes, lambda n: list_contains(b.nodes,n) AND (n=a.nodes[1] OR n=a.nodes[-1])))>0 AND len(list_filter(a.nodes, lambda n: list_contains(b.nodes,n) AND (n=b.nodes[1] OR n=b.nodes[-1])))>0
+  THEN ' at ends' ELSE ' inside' END)
+ ELSE 'crossing' END AS reason, a.layer=b.layer AND a.is_bridge=b.is_bridge AND abs(ga.g-gb.g)<=2 AS compatible,
+ a.layer=b.layer AND a.is_bridge=b.is_bridge AND abs(ga.g-gb.g)<=2 AS connects
 FROM ints x JOIN seg a ON a.segment_id=x.a_id JOIN seg b ON b.segment_id=x.b_id JOIN grp ga ON ga.highway=a.highway JOIN grp gb ON gb.highway=b.highway""",
         {"ints": f"SELECT DISTINCT p.segment_id AS a_id, q.segment_id AS b_id FROM pc p JOIN pc q ON p.segment_id<q.segment_id AND {MEET}"},
     ),
@@ -265,7 +266,7 @@ FROM ints x JOIN seg a ON a.segment_id=x.a_id JOIN seg b ON b.segment_id=x.b_id
 def connectivity_verdict(i):
     """verdict and reason for all pairs whose lines meet."""
     segs = i.segments()
-    return network.connectivity_verdicts(network.line_intersections(segs), segs).select("a_id", "b_id", "reason", "compatible")
+    return network.connectivity_verdicts(network.line_intersections(segs), segs).select("a_id", "b_id", "reason", "compatible", "connects")
 
 
 TILE_SQL = {
