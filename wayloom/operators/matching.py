@@ -412,6 +412,8 @@ def match_trips(points: DataFrame, net: Network, cfg: MatchConfig = MATCH, radiu
 
     ``near_point_bonus=False`` leaves out the cost bonus of roads close to the trip's points.
     """
+    if (cfg.window_size, cfg.window_step) != (2, 1):
+        raise ValueError("routes are joined from windows of two neighboring points; other sizes are not supported")
     r = cfg.radius_m if radius_m is None else radius_m
     cands, near_counts = trip_candidates(points, net, cfg, r)
     cands, near_counts = materialize(cands, "candidates"), materialize(near_counts, "near_counts")

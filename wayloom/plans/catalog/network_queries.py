@@ -9,6 +9,8 @@ from wayloom.functions import geo, roads
 from wayloom.operators import network, tiles, trips
 from wayloom.plans.oracle import hav, with_ctes
 from wayloom.plans.registry import query
+from wayloom.session import materialize, table_path
+from wayloom.sources import tiled
 
 # Small tiles, so that the adaptive rule has work to do on the given lattice.
 TILE = TileConfig(base_size_deg=0.04, density=40, max_depth=2)
@@ -346,8 +348,50 @@ def cross_tile_edges(i):
 
 @query("merged_tiles", with_ctes("SELECT highway, count(*) AS n_segments FROM seg GROUP BY 1"))
 def merged_tiles(i):
-    """Segments read from several tiles, some of them twice, as one network."""
-    segs = i.segments()
-    return tiles.merge_tile_rows(segs.unionByName(segs.filter("segment_id % 3 = 0")), ["segment_id"]).groupBy("highway").agg(
-        F.count(F.lit(1)).alias("n_segments")
+    """Tiles read from their folders at two times, some of them twice, as one network."""
+    folder = tiled_network(i)
+    index = i.spark.read.parquet(f"{folder}/index")
+    first, second = index.filter("(tile_x + tile_y) % 3 <> 0"), index.filter("(tile_x + tile_y) % 3 <> 1")
+    rows = [tiled.read_boxes(i.spark, folder, "segments", part) for part in (first, second)]
+    return tiles.merge_tile_rows(rows[0].unionByName(rows[1]), ["segment_id"]).groupBy("highway").agg(F.count(F.lit(1)).alias("n_segments"))
+
+
+def tiled_network(i) -> str:
+    """Folder of the network by tiles, written once."""
+    folder = table_path(i.spark, i.sf_dir, "tiled_network")
+    if not tiled.is_complete(i.spark, folder):
+        placed = i._stored("tiles", lambda: tiles.assign_tiles(i.segments(), TILE))
+        tiled.write_network(i.segments(), i.edges(), placed, folder)
+    return folder
+
+
+@query(
+    "network_tiles",
+    with_ctes(
+        """SELECT w.trip_id, w.depth, w.n_tiles, coalesce(s.n,0) AS n_segments, coalesce(e.n,0) AS n_edges FROM
+ (SELECT trip_id, depth, count(*) AS n_tiles FROM want GROUP BY 1,2) w
+ LEFT JOIN (SELECT trip_id, depth, count(*) AS n FROM want JOIN tiles USING (depth, tile_x, tile_y) GROUP BY 1,2) s USING (trip_id, depth)
+ LEFT JOIN (SELECT trip_id, depth, count(*) AS n FROM want JOIN tile_edges USING (depth, tile_x, tile_y) GROUP BY 1,2) e USING (trip_id, depth)""",
+        {
+            **TILE_SQL,
+            "tile_edges": "SELECT e.src, e.dst, a.depth, a.tile_x, a.tile_y FROM edges e JOIN tiles a ON a.segment_id=e.src JOIN tiles b ON b.segment_id=e.dst AND a.depth=b.depth AND a.tile_x=b.tile_x AND a.tile_y=b.tile_y",
+            "want": """SELECT tr.trip_id, s.depth, s.tile_x, s.tile_y FROM trips_id tr JOIN (SELECT DISTINCT depth, tile_x, tile_y, 0.04e0/pow(2e0,depth) AS sz FROM tiles) s
+ ON s.tile_x BETWEEN floor((tr.min_lon-0.005e0)/s.sz) AND floor((tr.max_lon+0.005e0)/s.sz) AND s.tile_y BETWEEN floor((tr.min_lat-0.005e0)/s.sz) AND floor((tr.max_lat+0.005e0)/s.sz)""",
+        },
+    ),
+)
+def network_tiles(i):
+    """S6, S7, Q-6: the network written by tiles and read back around every trip's box."""
+    folder = tiled_network(i)
+    boxes = trips.trips(trips.trip_points(i.pings()))
+    index = i.spark.read.parquet(f"{folder}/index")
+    wanted = materialize(tiled.wanted_tiles(boxes, "trip_id", index, TILE, TILE_BUFFER), "wanted")
+
+    def per_tile(table: str, name: str):
+        return tiled.read_boxes(i.spark, folder, table, wanted).groupBy(*tiled.TILE).agg(F.count(F.lit(1)).alias(name))
+
+    counted = wanted.join(per_tile("segments", "s"), tiled.TILE, "left").join(per_tile("edges", "e"), tiled.TILE, "left")
+    zero = F.lit(0).cast("long")
+    return counted.groupBy("trip_id", "depth").agg(
+        F.count(F.lit(1)).alias("n_tiles"), F.coalesce(F.sum("s"), zero).alias("n_segments"), F.coalesce(F.sum("e"), zero).alias("n_edges")
     )
