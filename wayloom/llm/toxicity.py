@@ -166,25 +166,22 @@ def fit(
             cut = np.searchsorted(bags.doc[order], np.arange(hi - lo + 1))
             for i in range(hi - lo):
                 o = order[cut[i] : cut[i + 1]]
-                out.append((bags.sentence[o].tolist(), f[o].tolist()))
+                out.append((bags.sentence[o].astype(np.int32).tobytes(), f[o].astype(np.int32).tobytes()))
         columns = zip(*out, strict=True) if out else ([], [])
-        return [pa.array(list(x), t) for x, t in zip(columns, (pa.list_(pa.int64()), pa.list_(pa.int32())))]
+        return [pa.array(list(x), pa.binary()) for x in columns]
 
-    found = with_columns(rows, "s array<long>, f array<int>", gather, drop=("text",)).collect()
+    found = with_columns(rows, "s binary, f binary", gather, drop=("text",)).toArrow()
     return _learn(known, found, penalty)
 
 
-def _learn(known: np.ndarray, found: list, penalty: np.ndarray) -> Model:
+def _learn(known: np.ndarray, found: pa.Table, penalty: np.ndarray) -> Model:
     """Gradient ascent (Adam) on the likelihood of the noisy-or, with a penalty on each weight."""
-    y = np.array([r["__y"] for r in found], float)
-    keys, feats, bag = [], [], []
-    for i, r in enumerate(found):
-        keys += [(i, s) for s in r["s"]]
-        feats += r["f"]
-    index: dict = {}
-    sentence = np.array([index.setdefault(k, len(index)) for k in keys], np.int64)
-    bag = np.array([i for i, _ in index], np.int64)
-    feats = np.array(feats, np.int64)
+    y = found["__y"].to_numpy().astype(float)
+    of_row = [np.frombuffer(x.as_py(), np.int32) for x in found["s"]]
+    feats = np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in found["f"]])
+    row = np.repeat(np.arange(len(y)), [len(x) for x in of_row])
+    key, sentence = np.unique((row << 32) | np.concatenate(of_row), return_inverse=True)
+    bag = key >> 32
     d = len(known)
     theta = np.zeros(d + 1)
     theta[d] = MAX_BIAS
