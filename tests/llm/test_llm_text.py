@@ -84,9 +84,8 @@ def test_jaccard_links_that_the_smallest_document_does_not_show(spark, monkeypat
     """Groups whose pair with the smallest document fails are compared within themselves, over several blocks."""
     if not broadcast:
         monkeypatch.setattr(components, "BROADCAST_IDS", 0)
-    monkeypatch.setattr(jaccard, "BLOCK", 3)
-    monkeypatch.setattr(jaccard, "FIRST_PARTNERS", 1)
-    monkeypatch.setattr(jaccard, "CALL_ROWS", 20)
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 8 * 96 * 3)  # three documents
+    monkeypatch.setattr(jaccard, "CALL_BYTES", 8 * 96 * 20)
     rng = random.Random(9)
     base = [f"b{i}" for i in range(100)]
     rows = []
@@ -100,6 +99,31 @@ def test_jaccard_links_that_the_smallest_document_does_not_show(spark, monkeypat
     assert got == want and 7 < len({c for _, c in want.values()}) < 40
 
 
+@pytest.mark.parametrize("sides", [False, True])
+def test_joining_links_make_the_groups_of_all_links(sides):
+    rng = np.random.default_rng(7)
+    pool = rng.integers(0, 2**63, 400).astype(np.uint64)
+    sets = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+    for k in range(60):
+        of = pool[20 * (k % 5) : 20 * (k % 5) + 70]
+        sets.append(np.unique(np.concatenate([of[rng.random(70) < 0.95], rng.integers(0, 2**63, 4).astype(np.uint64)])))
+    group = np.arange(len(sets)) // 2 * 2
+    side = rng.random(len(sets)) < 0.5 if sides else None
+    own = int(np.searchsorted(jaccard._bands(200), 65, "right") - 1) * jaccard.SEEDS
+    got = [(int(a), int(b)) for a, b in jaccard.joining(sets, own, group, side).T]
+    links = [
+        (a, b)
+        for a in range(len(sets))
+        for b in range(a)
+        if len(sets[a]) and 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))
+        and (side is None or side[a] != side[b])
+    ]
+    assert {tuple(sorted(p)) for p in got} <= {tuple(sorted(p)) for p in links}
+    same = [(int(a), int(g)) for a, g in enumerate(group)]
+    assert brute.components(range(len(sets)), got + same) == brute.components(range(len(sets)), links + same)
+    assert len(got) < len(set(group.tolist())) < len(links)
+
+
 def test_every_similar_pair_shares_a_key():
     """The pigeonhole bound, at the threshold and for all small sizes."""
     rng = np.random.default_rng(4)

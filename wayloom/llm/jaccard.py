@@ -16,10 +16,12 @@ documents gives g - 1 candidate pairs. Those within the bounds of size and of di
 the whole shingle sets.
 
 That is enough for all groups but those where a pair failed: there any two documents may still be
-similar. The documents of these groups that aren't in one component yet are compared in blocks by the same
-two bounds. Of each document and group the nearest few partners are verified first; most groups become one
-component by that. Groups that had more partners are taken again with sixteen times as many, until none has more:
-every pair within the bounds is verified or lies within a component. Verified pairs are joined into components.
+similar. The groups of one smallest document that aren't in one component yet are one cluster, whose documents
+are compared in blocks of bounded size, first by their sketches: documents with a partner of another component
+within the same two bounds go on. Of these the whole sets are compared in blocks: pairs within the bounds are
+verified on the spot, and a link makes two components one. A pair of blocks gives out its links only,
+fewer than its documents, and every pair within the bounds is verified or lies within a component.
+Links are joined into components.
 
 Results in special cases: null texts and texts without words have the empty set, link with nothing and are
 their own component; fewer than five words are one shingle; rows with a null id link with nothing
@@ -40,6 +42,7 @@ from pyspark.sql import functions as F
 from wayloom.llm import words
 from wayloom.llm.arrow import column
 from wayloom.llm.components import components, only
+from wayloom.operators.skew import salted_join
 from wayloom.session import materialize
 
 SHINGLE = 5
@@ -48,9 +51,8 @@ BUCKET_BYTES = 32 << 20  # of text for each bucket of keys
 MIN_BUCKETS = 64
 SEEDS = 64
 _CODE = np.uint64(4095)  # bands up to 64, so sets of up to 10 ** 11 shingles
-BLOCK = 512  # documents of a block in the comparison of failed groups
-CALL_ROWS = 10_000  # of small groups that are compared in one call
-FIRST_PARTNERS = 4  # nearest partners taken in the first round
+BLOCK_BYTES = 8 << 20  # of sketches or shingles for a block in the comparison of failed groups
+CALL_BYTES = 24 << 20  # that are compared in one call
 BATCH_BYTES = 4 << 20  # of text whose keys are packed at a time
 
 
@@ -276,7 +278,8 @@ def _plausible(pairs: DataFrame, table: DataFrame) -> DataFrame:
                 [c.filter(pa.array(near)) for c in (column(b, "a"), column(b, "b"))], names=["a", "b"]
             )
 
-    joined = pairs.join(side("a"), ["a", "code"]).join(side("b"), ["b", "code"])
+    # The smallest document of a large cluster is in many pairs.
+    joined = salted_join(pairs, side("b"), ["b", "code"], ["a"]).join(side("a"), ["a", "code"])
     return joined.mapInArrow(check, "a long, b long").distinct()
 
 
@@ -284,9 +287,8 @@ def similar(size_a: np.ndarray, size_b: np.ndarray, both: np.ndarray) -> np.ndar
     return 100 * both >= 80 * (size_a + size_b - both)
 
 
-def _verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with ``ok``: whether their whole sets are similar."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+def _set_table(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows v, s: the whole shingle sets of some documents."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -299,7 +301,12 @@ def _verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
                     [words.in_row_order(b, lo, hi, "id"), pa.array(packed, pa.binary())], names=["v", "s"]
                 )
 
-    found = only(rows, "id", ids).mapInArrow(sets, "v long, s binary")
+    return only(rows, "id", ids).mapInArrow(sets, "v long, s binary")
+
+
+def _verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with ``ok``: whether their whole sets are similar."""
+    found = _set_table(rows, pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct())
     left = found.select(F.col("v").alias("a"), F.col("s").alias("sa"))
     right = found.select(F.col("v").alias("b"), F.col("s").alias("sb"))
 
@@ -313,7 +320,7 @@ def _verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
                 ok.append(bool(similar(len(x), len(y), both)) and both > 0)
             yield pa.RecordBatch.from_arrays([column(b, "a"), column(b, "b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
+    joined = salted_join(pairs.select("a", "b"), right, ["b"], ["a"]).join(left, "a").select("a", "b", "sa", "sb")
     checked = joined.mapInArrow(check, "a long, b long, ok boolean")
     # Rows that repeat an id have a set each; the document links if one of them does.
     return checked.groupBy("a", "b").agg(F.max("ok").alias("ok"))
@@ -322,74 +329,125 @@ def _verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
 def _members(pairs: DataFrame, failed: DataFrame) -> DataFrame:
     """Rows key, v: the documents of the groups in which a pair failed. ``pairs``: all (a, b, key)."""
     keys = pairs.join(failed, ["a", "b"], "left_semi").select("key").distinct()
-    own = pairs.join(keys, "key", "left_semi")
+    own = salted_join(pairs, keys, ["key"], ["a"], "left_semi")
     return own.select("key", F.col("a").alias("v")).unionByName(own.select("key", F.col("b").alias("v"))).distinct()
 
 
-def _rest(members: DataFrame, groups: DataFrame, table: DataFrame, most: int) -> DataFrame:
-    """Rows a, b: candidate pairs of documents in different components that share a key, of each document and
-    group the ``most`` with the fewest differing parts; and rows null, key for groups that have more."""
+def _clusters(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows head, code, v, component: the documents of groups that aren't in one component yet, by smallest document."""
     members = members.join(groups, "v", "left").withColumn("component", F.coalesce("component", "v"))
     members = materialize(members, "members")
-    # Groups of two have been compared, and those whose documents are all in one component are done. Keys with
-    # the same documents (known by two 64-bit sums) are one group.
-    several = (
+    # Groups of two have been compared, and those whose documents are all in one component are done.
+    open_keys = (
         members.groupBy("key")
-        .agg(
-            F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n"),
-            F.min("v").alias("head"), F.bit_xor(F.xxhash64("v")).alias("x"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("y"),
-        )
+        .agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n"), F.min("v").alias("head"))
         .filter("c0 < c1 and n > 2")
-        .groupBy(F.col("key").bitwiseAND(F.lit(int(_CODE))).alias("code"), "n", "x", "y")
-        .agg(F.min("key").alias("key"), F.min("head").alias("head"))
-        .select("key", "code", "n", "head", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    )
-    several = materialize(several, "groups")
-    # Groups with one head are compared in one call, as far as they aren't too many: their pairs are often the same.
-    heads = several.groupBy("head").agg(F.sum(F.col("n") * F.col("blocks")).alias("rows"))
-    total = heads.agg(F.sum("rows")).first()[0] or 0
-    several = several.drop("n").join(heads, "head")
-    dealt = members.join(several, "key").join(table, ["v", "code"])
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("v"), "blocks").cast("int"))
+        .select("key", "head", F.col("key").bitwiseAND(F.lit(int(_CODE))).alias("code"))
+    )
+    # The groups of one smallest document hold much the same documents, and are compared as one cluster.
+    return materialize(salted_join(members, open_keys, ["key"], ["v"]).select("head", "code", "v", "component").distinct(), "clusters")
+
+
+def _by_blocks(clusters: DataFrame, sizes: DataFrame, weight: int, held: DataFrame, on: list[str], what: str, compare, schema: str) -> DataFrame:
+    """``compare(code, rows, side)`` for all pairs of blocks of each cluster. ``held`` gives each document its bytes
+    ``what``, about ``weight`` for a shingle. ``side`` tells the block of each row; None within one block."""
+    size = sizes.groupBy("v").agg(F.sum("n_shingles").alias("n"))  # an id may be on several rows
+    bulk = clusters.join(size, "v").groupBy("head", "code").agg((weight * F.sum("n")).alias("bytes"))
+    bulk = materialize(bulk.withColumn("blocks", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int")), "blocks")
+    total = bulk.agg(F.sum(F.col("bytes") * F.col("blocks"))).first()[0] or 0
+    dealt = salted_join(clusters, bulk.drop("bytes"), ["head", "code"], ["v"]).join(held, on)
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("v", what), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = dealt.select("key", "v", "size", "parts", "component", "head", "rows", "own", other)
+    dealt = dealt.select("*", other).drop("blocks")
     dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
-    salt = F.pmod(F.xxhash64("key", "i", "j"), F.ceil(F.col("rows") / CALL_ROWS))
-    bucket = F.pmod(F.xxhash64("head", salt), F.lit(max(1, -(-total // CALL_ROWS))))
-
-    def compare(t: pa.Table) -> pa.Table:
-        names = ("key", "i", "j", "v", "size", "component", "own")
-        key, i, j, ids, size, group, own = (t.column(c).to_numpy() for c in names)
-        parts = t.column("parts").to_pylist()
-        order = np.lexsort((j, i, key))
-        begin = np.flatnonzero(np.append(True, np.any([np.diff(x[order]) != 0 for x in (key, i, j)], axis=0)))
-        out, more = [np.zeros((2, 0), np.int64)], set()
-        for rows_ in np.split(order, begin[1:]):
-            one_block = i[rows_[0]] == j[rows_[0]]
-            left = rows_ if one_block else rows_[own[rows_] == i[rows_[0]]]
-            right = rows_ if one_block else rows_[own[rows_] == j[rows_[0]]]
-            if not len(left) or not len(right):
-                continue
-            there = np.frombuffer(b"".join([parts[k] for k in right]), np.uint64).reshape(len(right), -1)
-            n, g = size[right], group[right]
-            for at, k in enumerate(left):
-                rest = slice(at + 1 if one_block else 0, None)
-                some = np.flatnonzero((g[rest] != group[k]) & _near(n[rest], size[k], 0))
-                if not len(some):
-                    continue
-                differ = _differing(there[rest][some], np.frombuffer(parts[k], np.uint64))
-                near = np.flatnonzero(_near(n[rest][some], size[k], differ))
-                if len(near) > most:
-                    more.add(int(key[k]))
-                    near = near[np.argsort(differ[near], kind="stable")[:most]]
-                m = right[rest][some[near]]
-                out.append(np.stack([np.maximum(ids[m], ids[k]), np.minimum(ids[m], ids[k])]))
-        a, b = np.unique(np.concatenate(out, 1), axis=1)
-        left_over = np.array(sorted(more), np.int64)
-        missing = np.append(np.zeros(len(a), bool), np.ones(len(left_over), bool))
-        return pa.table({"a": pa.array(np.append(a, left_over), mask=missing), "b": np.append(b, left_over)})
-
-    return dealt.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(compare, "a long, b long").distinct()
+    bucket = F.pmod(F.xxhash64("head", "code", "i", "j"), F.lit(max(1, -(-total // CALL_BYTES))))
+
+    def run(t: pa.Table) -> pa.Table:
+        code, head, i, j, own = (t.column(c).to_numpy() for c in ("code", "head", "i", "j", "own"))
+        order = np.lexsort((j, i, code, head))
+        begin = np.flatnonzero(np.append(True, np.any([np.diff(x[order]) != 0 for x in (head, code, i, j)], axis=0)))
+        out = []
+        for at in np.split(order, begin[1:]):
+            side = None if i[at[0]] == j[at[0]] else own[at] == i[at[0]]
+            if len(at) > 1 and (side is None or 0 < side.sum() < len(at)):
+                out.append(compare(int(code[at[0]]), t.take(pa.array(at)).combine_chunks(), side))
+        return pa.concat_tables(out) if out else compare(0, t.slice(0, 0).combine_chunks(), None)
+
+    return dealt.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(run, schema)
+
+
+def _near_ones(code: int, t: pa.Table, side: np.ndarray | None) -> pa.Table:
+    """Rows whose sketch is within the bounds of one in another component."""
+    size, group = t.column("size").to_numpy(), t.column("component").to_numpy()
+    parts = np.frombuffer(b"".join(t.column("parts").to_pylist()), np.uint64).reshape(max(t.num_rows, 1), -1)[: t.num_rows]
+    near = np.zeros(t.num_rows, bool)
+    left = np.arange(t.num_rows) if side is None else np.flatnonzero(side)
+    right = left if side is None else np.flatnonzero(~side)
+    for at, k in enumerate(left):
+        some = right[at + 1 :] if side is None else right
+        some = some[(group[some] != group[k]) & _near(size[some], size[k], 0)]
+        some = some[_near(size[some], size[k], _differing(parts[some], parts[k]))]
+        near[some] = True
+        near[k] |= len(some) > 0
+    return t.select(["head", "code", "v"]).filter(pa.array(near))
+
+
+def _joining_links(code: int, t: pa.Table, side: np.ndarray | None) -> pa.Table:
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("s")]
+    ids = t.column("v").to_numpy()
+    a, b = ids[joining(sets, code, t.column("component").to_numpy(), side)] if sets else np.zeros((2, 0), np.int64)
+    return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+
+
+def _rest(clusters: DataFrame, sizes: DataFrame, table: DataFrame, named: DataFrame) -> DataFrame:
+    """Rows a, b: verified links that join two components within a cluster. ``sizes``: rows v, n_shingles of all
+    documents. Sketches are compared first; whole sets travel only for documents that have a partner within the bounds."""
+    near = _by_blocks(clusters, sizes, 1, table, ["v", "code"], "parts", _near_ones, "head long, code long, v long")
+    near = materialize(near.distinct(), "near")
+    some = materialize(clusters.join(near, ["head", "code", "v"], "left_semi"), "near-clusters")
+    sets = _set_table(named, some.select("v").distinct())
+    return _by_blocks(some, sizes, 8, sets, ["v"], "s", _joining_links, "a long, b long").distinct()
+
+
+def joining(sets: list[np.ndarray], code: int, group: np.ndarray, side: np.ndarray | None) -> np.ndarray:
+    """Pairs (two rows of places) of similar sets in different groups: those that join two groups, each of
+    which is one group from then on. ``side``: only sets of different sides are compared. All pairs within
+    the bounds of the sketches under ``code`` are verified, unless both sets are in one group by then."""
+    size = np.array([len(x) for x in sets], np.int64)
+    end = np.cumsum(size)
+    begin = end - size
+    whole = Sets(np.repeat(np.arange(len(sets)), size), np.concatenate(sets), size)
+    bands = _bands(1)
+    while len(bands) <= code // SEEDS + 1:
+        bands = _bands(int(bands[-1]))
+    all_rows = np.ones(len(sets), bool)
+    s = _sketch(whole, all_rows, np.full(len(sets), code // SEEDS), bands, code % SEEDS, fine=True)
+    low = (s.xor.astype(np.uint8) & np.uint8(15)).reshape(len(sets), -1)
+    low = np.pad(low, ((0, 0), (0, -low.shape[1] % 16)))
+    parts = np.ascontiguousarray(low[:, ::2] << 4 | low[:, 1::2]).view(np.uint64)
+    shingles, local = np.unique(whole.shingle, return_inverse=True)
+    mark = np.zeros(len(shingles), bool)
+    group = np.unique(group, return_inverse=True)[1]
+    left = np.arange(len(sets)) if side is None else np.flatnonzero(side)
+    right = left if side is None else np.flatnonzero(~side)
+    out = []
+    for at, k in enumerate(left):
+        some = right[at + 1 :] if side is None else right
+        some = some[(group[some] != group[k]) & (size[some] > 0) & _near(size[some], size[k], 0)]
+        some = some[_near(size[some], size[k], _differing(parts[some], parts[k]))]
+        if not len(some):
+            continue
+        mine = local[begin[k] : end[k]]
+        mark[mine] = True
+        n = size[some]
+        first = np.cumsum(n) - n
+        both = np.add.reduceat(mark[local[np.arange(n.sum()) + np.repeat(begin[some] - first, n)]], first, dtype=np.int64)
+        mark[mine] = False
+        for m in some[similar(size[k], n, both)]:
+            if group[m] != group[k]:
+                out.append((k, m))
+                group[group == group[m]] = group[k]
+    return np.array(out, np.int64).reshape(-1, 2).T
 
 
 def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -408,21 +466,10 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     failed = materialize(coded.select("a", "b").distinct().join(good, ["a", "b"], "left_anti"), "failed")
     groups = materialize(components(good), "components")
     members = materialize(_members(pairs, failed), "failed-groups")
-    tested, most = failed, FIRST_PARTNERS
-    while True:
-        rest = materialize(_rest(members, groups, table, most), "rest")
-        new = materialize(rest.filter("a is not null").join(tested, ["a", "b"], "left_anti"), "new")
-        checked = materialize(_verified(named, new), "verified-rest")
-        more = checked.filter("ok").select("a", "b")
-        if more.limit(1).count():
-            good = good.unionByName(more)
-            groups = materialize(components(good), "components")
-        open_keys = rest.filter("a is null").select(F.col("b").alias("key"))
-        if not open_keys.limit(1).count():
-            break
-        members = materialize(members.join(open_keys, "key", "left_semi"), "open-groups")
-        tested, most = tested.unionByName(new), most * 16
     sizes = found.filter("kind = 1").select(F.col("a").alias("v"), F.col("b").alias("n_shingles"))
+    more = materialize(_rest(_clusters(members, groups), sizes, table, named), "rest")
+    if more.limit(1).count():
+        groups = materialize(components(good.unionByName(more)), "components")
     out = sizes.join(groups, "v", "left").select(
         F.col("v").alias(doc_id), "n_shingles", F.coalesce("component", "v").alias("component_id")
     )
