@@ -371,15 +371,20 @@ class Pieces:
 
 
 class _Memo(dict):
-    """Ids of words seen by this worker."""
+    """Ids of words seen by this worker. When ``MEMO`` words are held they become the old ones, which are still
+    looked up until the next such turn, so that frequent words stay while rare ones go."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            found = self.pieces.ids(self.pieces.word(word))
         if len(self) >= MEMO:
+            self.old = dict(self)
             self.clear()
-        found = self.pieces.ids(self.pieces.word(word))
         self[word] = found
         return found
 
