@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from wayloom.llm.arrow import column, with_columns
 
 _TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*)|<!\[CDATA\[(?:.*?\]\]>|.*)|<[!?][^>]*>?"
+    r"<!--(?:.*?-->|.*)|<[!?][^>]*>?"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>?|[^<]+|<",
     re.S,
 )

@@ -57,7 +57,8 @@ def shapes(texts: pa.Array) -> np.ndarray:
         cut = np.flatnonzero(data == 10)
         cut = np.concatenate([[-1], cut, [len(data)]])
         length = np.diff(cut) - 1
-        line_hash = words.hashes(data, cut[:-1] + 1, cut[1:]) if length.min(initial=1) > 0 else length
+        some = length > 0  # blank lines part paragraphs; they don't count as repeated lines
+        line_hash = words.hashes(data, cut[:-1][some] + 1, cut[1:][some])
         again, top = _repeated(own)
         pairs, _ = _repeated(words.grams(own, 2))
         first = data[np.maximum(w.start[w.first[i] : w.first[i + 1]] - w.offsets[i], 0)]
