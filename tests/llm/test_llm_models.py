@@ -7,6 +7,7 @@ import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -152,6 +153,12 @@ def test_main_text_of_valid_forms(page):
     assert html.main_text(page) == PROSE
 
 
+def test_an_open_cdata_section_ends_with_its_tag():
+    page = "<body><article><p>Before the section stands a sentence.</p><![CDATA[ odd > <p>And after it another one stands.</p></article></body>"
+    text = html.main_text(page)
+    assert text.startswith("Before the section stands a sentence.") and text.endswith("And after it another one stands.")
+
+
 @pytest.mark.parametrize("around", [
     "<div class=comments>", "<ol class=comment-list><li>", "<aside>", "<nav>", "<div class=sidebar>", "<div class=related-posts>",
     "<div role=complementary>", "<div hidden>", "<div HIDDEN=''>", "<div style='display: none'>",
@@ -254,6 +261,18 @@ def benchmark_and_documents():
     return items, docs, leaked
 
 
+def test_links_in_few_dimensions_are_found(spark, monkeypatch):
+    """Vectors that fill six of 64 dimensions, many cells: pairs lie across borders."""
+    monkeypatch.setattr(cells, "CELL", 20)
+    rng = np.random.default_rng(5)
+    x = cells._unit(rng.normal(size=(4000, 6)) @ rng.normal(size=(6, 64)))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = sum(r.n_links for r in cells.query(vectors).collect())
+    true = int((x @ x.T >= cells.COSINE).sum()) - len(x)
+    assert 0.95 * true <= found <= true
+
+
 def test_paraphrased_items_are_found(spark):
     items, rows, leaked = benchmark_and_documents()
     benchmark = spark.createDataFrame(items, "item_id long, text string")
@@ -349,6 +368,13 @@ def test_quality_on_held_out_rows(spark):
     assert np.mean([a == b for a, b in held]) > 0.97
 
 
+def test_blank_lines_are_no_repeated_lines():
+    lines = ["one two three", "four five six", "seven eight nine"]
+    texts = ["\n".join(lines), "\n\n".join(lines), "\n\n".join([*lines, lines[0]]), "\n\n\n", "", None]
+    repeated = quality.shapes(pa.array(texts))[:, 11]
+    assert repeated.tolist() == [0, 0, 0.25, 0, 0, 0]
+
+
 def test_sparse_sites_are_shrunk(spark):
     rng = random.Random(1)
     good, bad = "This is a plain sentence of words. " * 4, "$$$ 123 %%% ### " * 12

@@ -3,14 +3,16 @@
 Equal vectors are one class, compared once and weighted by their number. Centres are fitted on a bounded
 sample (``SAMPLE`` vectors by hash of the id, at most ``MAX_CELLS`` centres); every vector is
 assigned. A vector lives in the cell of its nearest centre and is a guest in each later cell whose
-centre is nearly as near (within ``MARGIN`` of the cosine), so that pairs across a border meet, and meet
-once. A cell's rows are dealt into blocks of about ``ROWS``; pairs of blocks are compared as double
+centre is nearly as near, so that pairs across a border meet, and meet once. Two linked vectors are at most
+``APART`` apart, so their cosines to two centres a, b differ by at most ``APART`` * |a - b| in all. That bound is
+taken as it is where the sample fills few dimensions; where it fills many, the part of the difference that lies
+along a - b is ``SIGMAS`` standard deviations at most, one being 1 / sqrt(dimensions). A cell's rows are dealt into blocks of about ``ROWS``; pairs of blocks are compared as double
 precision matrix products side by side, so a crowded cell is many tasks. A block pair gives back the
 number of links of each vector and one edge per vector of its groups, never the pairs. Groups are joined
 into components, whose smallest vector is kept.
 
-A link has a cosine of ``COSINE`` or more; none below is ever made. Pairs whose centres differ by more
-than the margin can be missed; the tests measure recall against brute force.
+A link has a cosine of ``COSINE`` or more; none below is ever made. Pairs whose difference lies further along the
+line between their centres can be missed; the tests measure recall against brute force.
 
 Results in special cases: null, empty and zero vectors, and those with null or non-finite
 components, have no links and stay; vectors of different lengths never link; rows with a null id have
@@ -36,7 +38,8 @@ COSINE = 0.95
 SAMPLE = 16_384
 MAX_CELLS = 1024
 CELL = 512
-MARGIN = 0.1
+APART = (2 - 2 * COSINE) ** 0.5
+SIGMAS = 2.0
 ROWS = 1024
 TURNS = 8
 
@@ -87,7 +90,15 @@ def fit_centres(sample: np.ndarray, k: int) -> np.ndarray:
     return centres
 
 
-def _assigned(reps: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
+def margins(sample: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """For each pair of centres how far the cosine of a guest may lie below that of its own centre."""
+    spread = np.square(np.linalg.svd(sample - sample.mean(axis=0), compute_uv=False))
+    filled = spread.sum() ** 2 / max(np.square(spread).sum(), 1e-300)  # number of dimensions, by participation
+    apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0))
+    return APART * min(1.0, SIGMAS / max(filled, 1.0) ** 0.5) * apart + 1e-9
+
+
+def _assigned(reps: DataFrame, centres: dict[int, np.ndarray], margin: dict[int, np.ndarray]) -> DataFrame:
     """Rows cell, home, id, n, x: each vector in its own cell and as a guest in later ones."""
     offset, at = {}, 0
     for dim, c in centres.items():
@@ -100,7 +111,7 @@ def _assigned(reps: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
                 b = whole.filter(pa.array(dims == dim))
                 cosine = _unit(_matrix(column(b, "x"))) @ centres[int(dim)].T
                 home = cosine.argmax(axis=1)
-                near = cosine >= cosine.max(axis=1, keepdims=True) - MARGIN
+                near = cosine >= cosine.max(axis=1, keepdims=True) - margin[int(dim)][home]
                 near &= np.arange(cosine.shape[1])[None, :] >= home[:, None]
                 row, cell = np.nonzero(near)
                 took = b.take(pa.array(row))
@@ -161,12 +172,13 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
             F.col("id").alias(vec_id), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"),
             F.lit(True).alias("kept"),
         )
-    centres = {}
+    centres, margin = {}, {}
     for dim, n in sorted(sizes.items()):
         rows = reps.filter(F.size("x") == dim).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("x").collect()
         sample = _unit(np.array([r["x"] for r in rows]))
         centres[dim] = fit_centres(sample, max(1, min(len(sample), MAX_CELLS, -(-n // CELL))))
-    cells = materialize(_assigned(reps, centres), "cells")
+        margin[dim] = margins(sample, centres[dim])
+    cells = materialize(_assigned(reps, centres, margin), "cells")
     count = cells.groupBy("cell").agg(
         F.count_if("home").alias("n_home"), F.count_if(~F.col("home")).alias("n_guest")
     )  # at most MAX_CELLS rows for each length of vectors
