@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.llm import words
-from wayloom.llm.arrow import column
+from wayloom.llm.arrow import column, lean, lean_group
 from wayloom.llm.components import components, only
 from wayloom.operators.skew import salted_join
 from wayloom.session import materialize
@@ -218,8 +218,8 @@ def _candidates(rows: DataFrame, buckets: int) -> DataFrame:
             {"kind": kind, "a": np.append(a, v), "b": np.append(b, n), "key": np.append(k, np.zeros_like(v))}
         )
 
-    packed = rows.mapInArrow(pack, "bucket long, what int, l binary, r binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "kind int, a long, b long, key long")
+    packed = rows.mapInArrow(lean(pack), "bucket long, what int, l binary, r binary")
+    return packed.groupBy("bucket").applyInArrow(lean_group(meet), "kind int, a long, b long, key long")
 
 
 def _sketch_table(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -239,7 +239,7 @@ def _sketch_table(rows: DataFrame, ids: DataFrame) -> DataFrame:
                     )
 
     # A row that repeats an id with another text has sketches of its own, and may be the one that links.
-    return only(rows, "id", ids).mapInArrow(run, "v long, code long, size long, parts binary").distinct()
+    return only(rows, "id", ids).mapInArrow(lean(run), "v long, code long, size long, parts binary").distinct()
 
 
 def _packed(low: np.ndarray) -> np.ndarray:
@@ -280,7 +280,7 @@ def _plausible(pairs: DataFrame, table: DataFrame) -> DataFrame:
 
     # The smallest document of a large cluster is in many pairs.
     joined = salted_join(pairs, side("b"), ["b", "code"], ["a"]).join(side("a"), ["a", "code"])
-    return joined.mapInArrow(check, "a long, b long").distinct()
+    return joined.mapInArrow(lean(check), "a long, b long").distinct()
 
 
 def similar(size_a: np.ndarray, size_b: np.ndarray, both: np.ndarray) -> np.ndarray:
@@ -301,7 +301,7 @@ def _set_table(rows: DataFrame, ids: DataFrame) -> DataFrame:
                     [words.in_row_order(b, lo, hi, "id"), pa.array(packed, pa.binary())], names=["v", "s"]
                 )
 
-    return only(rows, "id", ids).mapInArrow(sets, "v long, s binary")
+    return only(rows, "id", ids).mapInArrow(lean(sets), "v long, s binary")
 
 
 def _verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -321,7 +321,7 @@ def _verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([column(b, "a"), column(b, "b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
     joined = salted_join(pairs.select("a", "b"), right, ["b"], ["a"]).join(left, "a").select("a", "b", "sa", "sb")
-    checked = joined.mapInArrow(check, "a long, b long, ok boolean")
+    checked = joined.mapInArrow(lean(check), "a long, b long, ok boolean")
     # Rows that repeat an id have a set each; the document links if one of them does.
     return checked.groupBy("a", "b").agg(F.max("ok").alias("ok"))
 
@@ -373,7 +373,7 @@ def _by_blocks(clusters: DataFrame, sizes: DataFrame, weight: int, held: DataFra
                 out.append(compare(int(code[at[0]]), t.take(pa.array(at)).combine_chunks(), side))
         return pa.concat_tables(out) if out else compare(0, t.slice(0, 0).combine_chunks(), None)
 
-    return dealt.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(run, schema)
+    return dealt.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(lean_group(run), schema)
 
 
 def _near_ones(code: int, t: pa.Table, side: np.ndarray | None) -> pa.Table:
@@ -480,7 +480,7 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
             nothing = pa.nulls(b.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays([nothing, pa.array(n), nothing], names=[doc_id, "n_shingles", "component_id"])
 
-    return out.unionByName(unnamed.mapInArrow(count, f"{doc_id} long, n_shingles long, component_id long"))
+    return out.unionByName(unnamed.mapInArrow(lean(count), f"{doc_id} long, n_shingles long, component_id long"))
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayloom.llm.arrow import column
+from wayloom.llm.arrow import column, lean
 from wayloom.session import materialize
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -443,7 +443,7 @@ def _states_of_chunks(chunks: DataFrame, model) -> DataFrame:
             )
 
     every = materialize(
-        chunks.mapInArrow(matrices, "key long, chunk long, m binary").withColumn("block", F.expr(f"chunk div {BLOCK}")),
+        chunks.mapInArrow(lean(matrices), "key long, chunk long, m binary").withColumn("block", F.expr(f"chunk div {BLOCK}")),
         "matrices",
     )
 
@@ -539,7 +539,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: s
                     )
 
     keyed = rows.filter(long).withColumn("key", F.monotonically_increasing_id())
-    chunks = materialize(keyed.mapInArrow(cut, pieced), "chunks")
+    chunks = materialize(keyed.mapInArrow(lean(cut), pieced), "chunks")
     states = _states_of_chunks(chunks, held)
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -560,8 +560,8 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: s
                 columns = _checked(pieces, ids, spelled)
                 yield pa.RecordBatch.from_arrays([column(b, "doc_id"), column(b, "chunk"), *columns], names=names)
 
-    encoded = chunks.join(states, ["key", "chunk"]).drop("key").mapInArrow(back, schema)
-    return rows.filter(~long).mapInArrow(short, schema).unionByName(encoded)
+    encoded = chunks.join(states, ["key", "chunk"]).drop("key").mapInArrow(lean(back), schema)
+    return rows.filter(~long).mapInArrow(lean(short), schema).unionByName(encoded)
 
 
 def decode(tokens: DataFrame, ids: str = "ids", model: str = MODEL, first: str | None = "chunk") -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.llm import words
-from wayloom.llm.arrow import column, with_columns
+from wayloom.llm.arrow import column, lean, with_columns
 from wayloom.session import materialize
 
 MAX_POSITIVE = 4000
@@ -133,7 +133,7 @@ def fit(
     n1, n0 = total.get(1, 0), total.get(0, 0)
     if not n1:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -20.0)
-    counts = rows.mapInArrow(count, "f long, pos long, n long").groupBy("f").agg(
+    counts = rows.mapInArrow(lean(count), "f long, pos long, n long").groupBy("f").agg(
         F.sum("pos").alias("pos"), F.sum("n").alias("n")
     )
     counts = materialize(counts, "features")
