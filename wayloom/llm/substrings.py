@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.llm import words
-from wayloom.llm.arrow import column, with_columns
+from wayloom.llm.arrow import column, lean, lean_group, with_columns
 from wayloom.llm.components import BROADCAST_IDS, only
 from wayloom.session import materialize
 
@@ -136,8 +136,8 @@ def _anchors(rows: DataFrame, buckets: int) -> DataFrame:
         v, packed = _by_doc(d, h)
         return pa.table({"v": v, "anchors": pa.array(packed, pa.binary())})
 
-    packed = rows.mapInArrow(pack, "bucket long, l binary, r binary, n binary")
-    found = packed.groupBy("bucket").applyInArrow(meet, "v long, anchors binary")
+    packed = rows.mapInArrow(lean(pack), "bucket long, l binary, r binary, n binary")
+    found = packed.groupBy("bucket").applyInArrow(lean_group(meet), "v long, anchors binary")
     return found.groupBy("v").agg(F.collect_list("anchors").alias("anchors"))  # no more than the document has
 
 
@@ -157,7 +157,7 @@ def _frequent(rows: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(p[some].view(np.int64)), pa.array(n[some])], names=["p", "n"])
 
     sample = rows.filter(F.pmod(F.xxhash64("id", F.lit("prefix")), F.lit(SAMPLE)) == 0)
-    total = sample.mapInArrow(count, "p long, n long").groupBy("p").agg(F.sum("n").alias("n"))
+    total = sample.mapInArrow(lean(count), "p long, n long").groupBy("p").agg(F.sum("n").alias("n"))
     found = total.filter(F.col("n") > FREQUENT // SAMPLE).select("p").collect()
     return np.sort(np.array([r["p"] for r in found], np.int64).view(np.uint64))
 
@@ -221,8 +221,8 @@ def _starts(rows: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
             v, packed = _by_doc(doc[order][later], pos[order][later])
         return pa.table({"v": v, "starts": pa.array(packed, pa.binary())})
 
-    packed = rows.mapInArrow(pack, "bucket long, a binary, c binary, doc binary, pos binary")
-    found = packed.groupBy("bucket").applyInArrow(meet, "v long, starts binary")
+    packed = rows.mapInArrow(lean(pack), "bucket long, a binary, c binary, doc binary, pos binary")
+    found = packed.groupBy("bucket").applyInArrow(lean_group(meet), "v long, starts binary")
     return found.groupBy("v").agg(F.collect_list("starts").alias("starts"))  # no more than the document has
 
 
