@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayloom.operators import candidates, matching, paths, planner, reach
+from wayloom.operators import candidates, constraints, matching, paths, planner, reach
 from wayloom.plans.oracle import hav, with_ctes
 from wayloom.plans.registry import query
 
@@ -321,6 +321,31 @@ def point_route_distance(i):
     )
 
 
+HELD = {
+    **TRIP_NEAR,
+    "con": "SELECT a.trip_id, a.point_idx, b.segment_id, b.point_idx-a.point_idx AS seq FROM trip_points a JOIN cand b ON b.trip_id=a.trip_id AND b.point_idx IN (a.point_idx, a.point_idx+1) AND b.rank=1",
+    "fits": """SELECT c.trip_id, c.point_idx, c.seq, d.segment_id FROM con c JOIN seg s ON s.segment_id=c.segment_id JOIN cand d ON d.trip_id=c.trip_id AND d.point_idx=c.point_idx
+JOIN seg e ON e.segment_id=d.segment_id AND e.way_id=s.way_id""",
+    "held": "SELECT * FROM (SELECT *, max(seq) OVER (PARTITION BY trip_id, point_idx) AS last FROM fits) f WHERE seq=last",
+}
+
+
+@query(
+    "way_constraints",
+    with_ctes(
+        """SELECT p.trip_id, p.point_idx-k.pos AS window_idx, k.pos, h.segment_id FROM trip_points p JOIN (VALUES (CAST(0 AS BIGINT)), (1)) k(pos) ON p.point_idx-k.pos BETWEEN 0 AND p.n_points-2
+JOIN held h ON h.trip_id=p.trip_id AND h.point_idx=p.point_idx""",
+        HELD,
+    ),
+)
+def way_constraints(i):
+    """Candidates left to each point of a window that is held to the way of its best segment or, where it has a candidate there, of the next point's."""
+    best = i.candidates().filter("rank = 1")
+    asked = [best.select("trip_id", (F.col("point_idx") - by).alias("point_idx"), F.lit(by).alias("seq"), "segment_id") for by in (0, 1)]
+    wins = matching.windows(i.trip_points())
+    return constraints.way_constraints(wins, asked[0].unionByName(asked[1]), i.candidates(), i.segments())
+
+
 @query("window_best")
 def window_best(i):
     """Path chosen for each window."""
